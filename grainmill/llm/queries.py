@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import bpe_count, mixing, quality, secrets, sharding, warc_zip
+from grainmill.llm import bpe_count, decontam, mixing, quality, secrets, sharding, toxicity, warc_zip
 from grainmill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def _model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_quality(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,6 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_token_counts, op6_secret_scan, op7_kd_shards, op9_quality_rules, op10_warc_zip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_mixing, op4_token_counts, op6_secret_scan, op7_kd_shards, op8_toxicity, op9_quality_rules, op10_warc_zip)}
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
