@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import bpe_count, decontam, mixing, quality, secrets, sharding, toxicity, warc_zip
+from grainmill.llm import bpe_count, decontam, line_dedup, mixing, ngram_join, quality, secrets, sharding, toxicity, warc_zip
 from grainmill.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), _model())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,6 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_mixing, op4_token_counts, op6_secret_scan, op7_kd_shards, op8_toxicity, op9_quality_rules, op10_warc_zip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op4_token_counts, op5_ngram_join, op6_secret_scan, op7_kd_shards, op8_toxicity, op9_quality_rules, op10_warc_zip)}
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
