@@ -26,6 +26,8 @@ SUPPORT, LEAST, STEPS = 0.75, 50, 3
 CUT, CHI_MEDIAN = 30.0, 4.351
 WINDOW = 8
 ANY = "*"
+#: A table with a row per group is broadcast up to this many rows, and joined by shuffles beyond.
+MOST_BROADCAST = 50_000
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -114,21 +116,22 @@ def groups(stats: DataFrame) -> DataFrame:
 
 def fit(stats: DataFrame, mapped: DataFrame) -> DataFrame:
     """Centre, inverse factor and scale for each group, by concentration steps over rows that pass the limits."""
+    small = F.broadcast if mapped.count() <= MOST_BROADCAST else lambda table: table
     key = ["g_lang", "g_source"]
     rows = stats.where(f"NOT ({BASE_FAILED})").select(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_"), _vector().alias("x_"))
-    rows = rows.join(mapped, ["lang_", "source_"]).select(*key, "x_")
+    rows = rows.join(small(mapped), ["lang_", "source_"]).select(*key, "x_")
     d = range(len(FEATURES))
     median = rows.groupBy(*key).agg(F.array(*(F.percentile_approx(F.col("x_")[i], 0.5) for i in d)).alias("mu"))
-    spread = rows.join(median, key).groupBy(*key).agg(F.first("mu").alias("mu"), F.array(*(F.percentile_approx(F.abs(F.col("x_")[i] - F.col("mu")[i]), 0.5) for i in d)).alias("mad"))
+    spread = rows.join(small(median), key).groupBy(*key).agg(F.first("mu").alias("mu"), F.array(*(F.percentile_approx(F.abs(F.col("x_")[i] - F.col("mu")[i]), 0.5) for i in d)).alias("mad"))
     wide = lambda i: F.greatest(F.col("mad")[i] * 1.4826, F.lit(FLOORS[i]))
     params = cut(_inverted(spread, lambda i, j: wide(i) * wide(i) if i == j else F.lit(0.0)), "mcd")
     for _ in range(STEPS):
-        near = rows.join(params, key).select(*key, "x_", _distance().alias("d2"))
+        near = rows.join(small(params), key).select(*key, "x_", _distance().alias("d2"))
         limit = cut(near.groupBy(*key).agg(F.percentile_approx("d2", SUPPORT).alias("limit")), "mcd")
-        inner = near.join(limit, key).where("d2 <= limit")
+        inner = near.join(small(limit), key).where("d2 <= limit")
         sums = inner.groupBy(*key).agg(F.array(*(F.avg(F.col("x_")[i]) for i in d)).alias("mu"), *(F.covar_pop(F.col("x_")[i], F.col("x_")[j]).alias(f"s{i}{j}") for i in d for j in range(i + 1)))
         params = cut(_inverted(sums, lambda i, j: F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))), "mcd")
-    scale = rows.join(params, key).groupBy(*key).agg(F.greatest(F.percentile_approx(_distance(), 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
+    scale = rows.join(small(params), key).groupBy(*key).agg(F.greatest(F.percentile_approx(_distance(), 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
     return cut(params.join(scale.where(f"n >= {LEAST}").drop("n"), key), "mcd")
 
 
