@@ -2,3 +2,5 @@
 
 ``grainmill.llm`` holds the training-data operators; nothing outside it imports it.
 """
+
+__version__ = "0.1.0"
