@@ -11,10 +11,6 @@ from grainmill.operators.index import block_masks
 MOST = 256
 
 
-def _best(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("df", "crc")))
-
-
 def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w: int = 8, block_size: int = 64) -> tuple[DataFrame, DataFrame]:
     """Per query: (qid, method, source, b_anchors, c_anchors, best_df) and its candidates (qid, chunk_id)
     before neighbours are added. Ties between keys of equal df go to the smaller key.
@@ -24,22 +20,20 @@ def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w:
     any anchor, all chunks are candidates (source 'fallback').
     """
     qk = minimizers(queries, q, w, "self", "qid")
-    b = post.where("layer = 'B'")
-    hb = _best(qk.join(b.select("crc", "df").distinct(), "crc"))
     masks = block_masks(post, block_size)
-    c_df = masks.groupBy("crc").agg((F.count("*") * block_size).alias("df"))
-    hc = _best(qk.join(c_df, "crc"))
-    nb = hb.groupBy("qid").agg(F.count("*").alias("nb"), F.min("df").alias("df_b"))
-    nc = hc.groupBy("qid").agg(F.count("*").alias("nc"), F.min("df").alias("df_c"))
-    lists = hb.where("rk <= 2").join(b.select("crc", "chunk_id"), "crc").groupBy("qid", "chunk_id").agg(F.min("rk").alias("rk"))
-    n_list = lists.groupBy("qid").agg(F.count("*").alias("n12"), F.count_if(F.col("rk") == 1).alias("n1"))
-    two = hc.where("rk <= 2").select("qid", "crc").join(masks, "crc").select("qid", "block_id").distinct()
+    c_df = masks.groupBy("crc").agg((F.count("*") * block_size).alias("df")).select("crc", "df", F.lit("C").alias("layer"))
+    keys = post.where("layer = 'B'").select("crc", "df", "layer").distinct().unionByName(c_df)
+    hits = qk.join(keys, "crc").withColumn("rk", F.row_number().over(Window.partitionBy("qid", "layer").orderBy("df", "crc")))
+    b, c = F.col("layer") == "B", F.col("layer") == "C"
+    anchors = hits.groupBy("qid").agg(F.count_if(b).alias("nb"), F.count_if(c).alias("nc"), F.min(F.when(b, F.col("df"))).alias("df_b"), F.min(F.when(c, F.col("df"))).alias("df_c"))
+    two = hits.where("rk <= 2").select("qid", "crc", "layer", "rk")
+    lists = two.where("layer = 'B'").join(post.select("crc", "chunk_id"), "crc").select("qid", "chunk_id", "layer", "rk")
     low = F.col("block_id") * block_size
-    cc = two.where(low < n_chunks).select("qid", F.explode(F.sequence(low, F.least(low + block_size, F.lit(n_chunks)) - 1)).alias("chunk_id"))
-    n_cc = cc.groupBy("qid").agg(F.count("*").alias("ncc"))
-    s = queries.select("qid")
-    for part in (nb, nc, n_list, n_cc):
-        s = s.join(part, "qid", "left")
+    blocks = two.where("layer = 'C'").join(masks, "crc").where(low < n_chunks)
+    blocks = blocks.select("qid", F.explode(F.sequence(low, F.least(low + block_size, F.lit(n_chunks)) - 1)).alias("chunk_id"), "layer", "rk")
+    pool = lists.unionByName(blocks).groupBy("qid", "chunk_id", "layer").agg(F.min("rk").alias("rk"))
+    sizes = pool.groupBy("qid").agg(F.count_if(b).alias("n12"), F.count_if(b & (F.col("rk") == 1)).alias("n1"), F.count_if(c).alias("ncc"))
+    s = queries.select("qid").join(anchors, "qid", "left").join(sizes, "qid", "left")
     s = s.na.fill(0, ["nb", "nc", "n12", "n1", "ncc"])
     s = s.withColumn("size_b", F.when(F.col("n12") <= MOST, F.col("n12")).otherwise(F.col("n1")))
     s = s.withColumn("by_c", ((F.col("nb") == 0) | (F.col("size_b") > MOST)) & (F.col("nc") > 0))
@@ -53,11 +47,9 @@ def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w:
     best = F.when(F.col("label_c"), F.col("df_c")).otherwise(F.col("df_b"))
     summary = s.select("qid", F.when(~F.col("found"), "l0_fallback").otherwise(F.concat(F.lit("l0_"), named, F.lit("_"), (F.col("nb") + F.col("nc")).cast("string"))).alias("method"), source.alias("best_source"), F.col("nb").alias("b_anchors"), F.col("nc").alias("c_anchors"), F.coalesce(best, F.lit(0)).alias("best_df"), "all", "take_c", (F.col("n12") > MOST).alias("only_first"), "found")
     use = summary.select("qid", "all", "take_c", "only_first")
-    from_b = lists.join(use.where("not all and not take_c"), "qid").where("not only_first or rk = 1").select("qid", "chunk_id")
-    from_c = cc.join(use.where("not all and take_c"), "qid").select("qid", "chunk_id")
-    spark = queries.sparkSession
-    every = use.where("all").select("qid").crossJoin(spark.range(n_chunks).select(F.col("id").alias("chunk_id")))
-    return summary, from_b.unionByName(from_c).unionByName(every)
+    picked = pool.join(use.where("not all"), "qid").where("(take_c and layer = 'C') or (not take_c and layer = 'B' and (not only_first or rk = 1))").select("qid", "chunk_id")
+    every = use.where("all").select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk_id")) if n_chunks else picked
+    return summary, picked.unionByName(every)
 
 
 def neighbours(candidates: DataFrame, n_chunks: int) -> DataFrame:
@@ -80,14 +72,14 @@ def l0_summary(queries: DataFrame, post: DataFrame, n_chunks: int, **how) -> Dat
 
 def l0_adaptive(queries: DataFrame, post: DataFrame, n_chunks: int, w: int = 8, block_size: int = 64) -> DataFrame:
     """The summary of the first of (8, w), (7, w / 2), (6, w / 4) that finds anchors, with q_used (null if none)."""
-    out, open_ = None, queries
-    column = queries.columns[1]
+    column, out = queries.columns[1], None
     for q, width in ((8, w), (7, max(1, w // 2)), (6, max(1, w // 4))):
-        got = l0_summary(open_.where(F.octet_length(column) >= q), post, n_chunks, q=q, w=width, block_size=block_size).withColumn("q_used", F.lit(q)).where("anchors_found > 0")
+        got = l0_summary(queries.where(F.octet_length(column) >= q), post, n_chunks, q=q, w=width, block_size=block_size).withColumn("q_used", F.lit(q))
         out = got if out is None else out.unionByName(got)
-        open_ = open_.join(got.select("qid"), "qid", "left_anti")
-    none = l0_summary(open_, post.limit(0), n_chunks, block_size=block_size).withColumn("q_used", F.lit(None).cast("int"))
-    return out.unionByName(none)
+    names = out.columns
+    found = out.where("anchors_found > 0").groupBy("qid").agg(F.max_by(F.struct(*names), "q_used").alias("r")).select("r.*")
+    none = l0_summary(queries, post.limit(0), n_chunks, block_size=block_size).withColumn("q_used", F.lit(None).cast("int")).join(found.select("qid"), "qid", "left_anti")
+    return found.unionByName(none.select(*names))
 
 
 def hotspot_search(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w: int = 40, most: tuple[int, int] = (1, 10)) -> DataFrame:
