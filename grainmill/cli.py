@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainmill import __version__
 from grainmill.operators import analysis, filters, gate, index, quality, search
+from grainmill.session import ready
 from grainmill.sources import datasource, formats
 
 
 def session() -> SparkSession:
-    os.environ["PYTHONPATH"] = f"{os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}:{os.environ.get('PYTHONPATH', '')}"
     spark = SparkSession.builder.appName("grainmill").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ready(spark)
     datasource.register(spark)
     return spark
 

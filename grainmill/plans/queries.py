@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.operators import analysis, filters, gate, index, quality, search
 from grainmill.operators.arrow import grams, minimizers
 from grainmill.plans import sql
+from grainmill.session import ready
 from grainmill.sources import chunks as sources
 
 #: Few keys of the test tables are in many documents; low bounds fill layer C.
@@ -30,6 +31,7 @@ def query(text: str | None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
