@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.session import ready
+
 #: A word is a run of anything but space and the five control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -19,6 +21,7 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests, one machine) a temporary folder is made and set.
     """
+    ready(spark)
     context = spark.sparkContext
     where = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
     if not where:
