@@ -9,10 +9,10 @@ dealt by shingle into blocks; each block multiplies its columns with their trans
 fitting sizes only, overlap counts are added up over blocks, and pairs below the bound are
 discarded. The rest is settled on whole sets.
 
-A group of m near copies would give m * m pairs. So two products are made. The first multiplies each
-column with two of its classes only (the smallest and the largest class id), which is linear in
-the entries; what it settles is merged into components. The second leaves out pairs that are in
-one component already, and is exact for all others. No candidate is capped or dropped.
+A group of m near copies would give m * m pairs. So products with a few hubs come first: each
+multiplies every column with HUBS of its classes only, which is linear in the entries, and what it
+settles is merged into components. The last product is with all classes, leaves out pairs that are
+in one component already, and is exact for all others. No candidate is capped or dropped.
 
 Texts are read again for each step (they are not shuffled); hashes are made by numpy over the bytes
 of Arrow batches.
@@ -36,6 +36,8 @@ SIMILAR = (4, 5)  # 0.8
 SHARED = 4  # l
 SKETCH_BITS, CHUNK_BITS = 20, 16
 CROWDED, LEAST_CROWDED = 4, 64  # times the mean load of a counter; and this count at least
+#: Hubs a column in each of the products before the full one.
+HUBS = (2, 8)
 REMEMBERED = 500_000
 BITMAP_BITS = 23
 
@@ -264,26 +266,36 @@ def _pairs(a, na, b, nb) -> pa.RecordBatch:
 PAIR = "a long, b long, na long, nb long"
 
 
-def star_product(shared: DataFrame) -> DataFrame:
-    """Pairs of each column's classes with its smallest and its largest class id."""
+def _places(parts: DataFrame | None, shared: DataFrame) -> DataFrame:
+    """The entries with the component that each class is in so far."""
+    if parts is None:
+        return shared.withColumn("part", F.col("cid"))
+    return shared.join(parts, shared["cid"] == parts["node"], "left").select("h", "n", "cid", F.coalesce("component", "cid").alias("part"))
+
+
+def star_product(shared: DataFrame, parts: DataFrame | None, hubs: int, seed: int) -> DataFrame:
+    """Pairs of each column's classes with its ``hubs`` classes of the smallest hashes, unless they
+    are in one component already. Linear in the entries."""
+    salt = np.uint64(0xA0761D6478BD642F * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
 
     def run(batches):
-        for h, n, cid in _columns(batches, 3):
+        for h, n, cid, part in _columns(batches, 4):
+            order = np.lexsort((_mix(cid.view(np.uint64) ^ salt), h))
+            h, n, cid, part = h[order], n[order], cid[order], part[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(first, len(h)))
-            of = np.repeat(np.arange(len(first)), size)
-            for best in (np.minimum, np.maximum):
-                hub = best.reduceat(cid, first)
-                at = np.flatnonzero(cid == hub[of])
-                place = np.zeros(len(first), np.int64)
-                place[of[at]] = at
-                hub_n = n[place][of]
-                ok = (cid != hub[of]) & _fits(np.minimum(n, hub_n), np.maximum(n, hub_n))
-                if best is np.maximum:
-                    ok &= size[of] > 2  # else the pair is counted already
-                yield _pairs(cid[ok], n[ok], hub[of][ok], hub_n[ok])
+            at, start = np.arange(len(h)), np.repeat(first, size)
+            for k in range(hubs):
+                hub = start + k
+                ok = at > hub  # earlier ones have met this hub as hubs
+                ok[ok] = (h[hub[ok]] == h[ok]) & (part[hub[ok]] != part[ok])
+                hub, here = hub[ok], at[ok]
+                fits = _fits(np.minimum(n[here], n[hub]), np.maximum(n[here], n[hub]))
+                if fits.any():
+                    hub, here = hub[fits], here[fits]
+                    yield _pairs(cid[here], n[here], cid[hub], n[hub])
 
-    return _by_column(shared).mapInArrow(run, PAIR)
+    return _by_column(_places(parts, shared), "part").mapInArrow(run, PAIR)
 
 
 def full_product(shared: DataFrame, parts: DataFrame) -> DataFrame:
@@ -303,14 +315,22 @@ def full_product(shared: DataFrame, parts: DataFrame) -> DataFrame:
                     yield _pairs(cid[apart], n[apart], cid[apart + d], n[apart + d])
                 d += 1
 
-    told = shared.join(parts, shared["cid"] == parts["node"], "left").select("h", "n", "cid", F.coalesce("component", "cid").alias("part"))
-    return _by_column(told, "part").mapInArrow(run, PAIR)
+    return _by_column(_places(parts, shared), "part").mapInArrow(run, PAIR)
 
 
 def candidates(pairs: DataFrame) -> DataFrame:
-    """Adds up the counts of pairs and discards those below the bound of their sizes."""
-    need = F.ceil(F.greatest("na", "nb") * SIMILAR[0] / SIMILAR[1])
-    return cut(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(SHARED), need)).select("a", "b"), "pairs")
+    """Adds up the counts of pairs and discards those below the bounds of their sizes.
+
+    Similar sets share at least t / (1 + t) of their joint size. What two sets share beyond the
+    counted part lies past the end of that one's part which ends first, so it is at most the rest of
+    that set; the count must make up for what the larger rest leaves open.
+    """
+    t, of = SIMILAR
+    largest = F.ceil(F.greatest("na", "nb") * t / of)
+    rest = lambda n: F.greatest(F.ceil(F.col(n) * t / of) - SHARED, F.lit(0))
+    open_ = F.ceil((F.col("na") + F.col("nb")) * t / (t + of)) - F.greatest(rest("na"), rest("nb"))
+    need = F.greatest(F.least(F.lit(SHARED), largest), open_)
+    return cut(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"), "pairs")
 
 
 def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -349,8 +369,8 @@ def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     source = _identified(docs).select("text", spot.alias("spot")).select("text", "spot", F.bitmap_bucket_number("spot").alias("bucket"), F.bitmap_bit_position("spot").alias("position"))
-    texts = source.mapInArrow(packed, "cid long, members binary").dropDuplicates(["cid"])
-    texts = cut(texts.join(met, "cid", "left_semi"), "members")
+    texts = source.mapInArrow(packed, "cid long, members binary").join(met, "cid", "left_semi")
+    texts = cut(texts.dropDuplicates(["cid"]), "members")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").join(texts.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
 
     def compare(batches):
@@ -375,10 +395,12 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = cut(rows.where("n > 0").groupBy("cid", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sid").alias("sid")), "classes")
     shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = shared_entries(entries(docs, crowded(told, shingles)))
-    near = settled(docs, candidates(star_product(shared)), classes)
-    parts = cut(components(near), "parts")
-    rest = settled(docs, candidates(full_product(shared, parts)), classes)
-    roots = components(near.union(rest))
+    links, parts = None, None
+    for seed, hubs in enumerate(HUBS):
+        near = settled(docs, candidates(star_product(shared, parts, hubs, seed)), classes)
+        links = near if links is None else links.union(near)
+        parts = cut(components(links), "parts")
+    roots = components(links.union(settled(docs, candidates(full_product(shared, parts)), classes)))
     rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", "sid", F.coalesce("component", "cid").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.coalesce(F.min("doc_id"), F.min("sid")).alias("first_sid"))
     return rows, cut(rooted.join(first, "root").select("cid", "first_doc", "first_sid"), "roots")
