@@ -10,7 +10,7 @@ of clean texts (Gumbel), so that exp(-normalised) is its expected number by chan
 segments of a text are added up and a logistic curve, fitted on the same labelled sample, gives
 the probability.
 
-Labels are learned from at most MOST_LABELLED rows, those with the smallest hashes of their texts.
+Labels are learned from at most MOST_LABELLED ids, those with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -153,13 +153,16 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """text and toxic (0 or 1) of at most ``most`` labelled rows outside the held-out quarter.
+    """text and toxic (0 or 1) of the documents of at most ``most`` labelled ids outside the held-out quarter.
 
-    A document labelled twice counts once, as toxic if any label says so; null labels are none.
+    A document labelled twice counts once, as toxic if any label says so; null labels are none. The
+    ids are those with the smallest hashes; as their number is bounded they are broadcast, and no
+    text is shuffled.
     """
-    told = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    rows = docs.where(remainder() != 2).select("doc_id", "text").join(told.where(remainder() != 2), "doc_id").select("text", "toxic")
-    return rows.orderBy(F.xxhash64(F.coalesce("text", F.lit(""))), "toxic").limit(most)
+    told = labels.where("toxic is not null and doc_id is not null").where(remainder() != 2)
+    told = told.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def fit(rows: DataFrame) -> Model:
