@@ -97,7 +97,7 @@ def components(nodes_with_links: DataFrame, a: str = "a", b: str = "b", max_roun
     edges = edges.where("u is not null and v is not null and u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if not edges.isEmpty() else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest of the neighbourhood
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
