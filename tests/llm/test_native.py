@@ -130,3 +130,55 @@ def test_fuzzy_lines(spark):
         part[max(root(a), root(b))] = min(root(a), root(b))
     got = {x["key"]: x["group"] for x in line_dedup.line_groups(line_dedup.distinct_lines(h.frame(spark, rows))).collect()}
     assert got == {k: root(k) for k in part if sum(root(o) == root(k) for o in part) > 1} and len(got) > 10
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def grouped(spark, texts):
+    """The groups of line_groups over one line a row, as sets of normalised lines."""
+    distinct = line_dedup.distinct_lines(h.frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]))
+    out = defaultdict(set)
+    for x in line_dedup.line_groups(distinct).join(distinct, "key").select("group", "norm").collect():
+        out[x["group"]].add(x["norm"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_lines_by_edit_similarity(spark):
+    """Changed words and short lines: the groups are those of edit similarity alone, over all pairs."""
+    r = random.Random(8)
+    made = set()
+    for n in (1, 2, 3, 4, 5, 7, 10, 15, 20, 30):
+        for _ in range(3):
+            w = h.prose(r, n).split()
+            made.add(" ".join(w))
+            for _ in range(2):
+                v = list(w)
+                for p in r.sample(range(n), max(1, n // 8)):
+                    v[p] = v[p][:-1] + "q" if n < 5 else "zq" + r.choice("abcdef")
+                made.add(" ".join(v))
+    made |= {"token", "tokens", "broken", "abcd", "abcde", "abxde"}
+    texts, part = sorted(made), {x: x for x in made}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            most = max(len(a), len(b)) // 5
+            if abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most:
+                part[max(root(a), root(b))] = min(root(a), root(b))
+    want = defaultdict(list)
+    for x in texts:
+        want[root(x)].append(x)
+    want = sorted(x for x in want.values() if len(x) > 1)
+    assert len(want) > 15 and grouped(spark, texts) == want
