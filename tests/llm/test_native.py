@@ -182,3 +182,10 @@ def test_lines_by_edit_similarity(spark):
         want[root(x)].append(x)
     want = sorted(x for x in want.values() if len(x) > 1)
     assert len(want) > 15 and grouped(spark, texts) == want
+
+
+def test_very_long_lines(spark):
+    """Every 20th word changed: edit similarity of about 0.95 at any length."""
+    w = h.prose(random.Random(12), 2200).split()
+    v = ["zq" if i % 20 == 7 else x for i, x in enumerate(w)]
+    assert len(" ".join(w)) > 9000 and grouped(spark, [" ".join(w), " ".join(v)]) == [sorted([" ".join(w), " ".join(v)])]
