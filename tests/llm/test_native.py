@@ -189,3 +189,10 @@ def test_very_long_lines(spark):
     w = h.prose(random.Random(12), 2200).split()
     v = ["zq" if i % 20 == 7 else x for i, x in enumerate(w)]
     assert len(" ".join(w)) > 9000 and grouped(spark, [" ".join(w), " ".join(v)]) == [sorted([" ".join(w), " ".join(v)])]
+
+
+def test_lines_of_one_simhash(spark):
+    """A word repeated 100, 85 and 70 times has one SimHash; only neighbours are similar, and all are one group."""
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
+    texts = [" ".join([x] * n) for x in words for n in (100, 85, 70)]
+    assert grouped(spark, texts) == [sorted(" ".join([x] * n) for n in (100, 85, 70)) for x in words]
