@@ -121,7 +121,7 @@ def prefix_length(n, similar=SIMILAR, shared: int = SHARED):
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per document (doc_id, sid, n and the set's digest d1, d2); kind 1: sketch counts."""
+    """kind 0: a row per document (doc_id, sid, n, the set's digest d1, d2 and the text's hash th); kind 1: sketch counts."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -133,15 +133,15 @@ def measured(docs: DataFrame) -> DataFrame:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 d = [digest(s) for s in sets]
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0).slice(first, k), batch.column(1).slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([None] * k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0).slice(first, k), batch.column(1).slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([None] * k, pa.binary()), batch.column(3).slice(first, k)], names)
         if any_:
             for c in range(1 << SKETCH_BITS - CHUNK_BITS):
                 part = sketch[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
                 raw = zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([c], pa.int64()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([raw], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([c], pa.int64()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([raw], pa.binary()), pa.array([None], pa.int64())], names)
 
-    names = ["kind", "doc_id", "sid", "n", "d1", "d2", "counts"]
-    return cut(_identified(docs).mapInArrow(run, "kind int, doc_id long, sid long, n long, d1 long, d2 long, counts binary"), "sets")
+    names = ["kind", "doc_id", "sid", "n", "d1", "d2", "counts", "th"]
+    return cut(_identified(docs).withColumn("th", F.xxhash64(text_of())).mapInArrow(run, "kind int, doc_id long, sid long, n long, d1 long, d2 long, counts binary, th long"), "sets")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -389,9 +389,9 @@ def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, sid, n, cid) and classes (cid, root, first_doc, first_sid of the root)."""
+    """Rows (doc_id, sid, n, cid, th) and classes (cid, root, first_doc, first_sid of the root)."""
     told = measured(docs)
-    rows = told.where("kind = 0").select("doc_id", "sid", "n", F.col("d1").alias("cid"), "d2")
+    rows = told.where("kind = 0").select("doc_id", "sid", "n", F.col("d1").alias("cid"), "d2", "th")
     classes = cut(rows.where("n > 0").groupBy("cid", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sid").alias("sid")), "classes")
     shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = shared_entries(entries(docs, crowded(told, shingles)))
@@ -403,7 +403,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links.union(settled(docs, candidates(full_product(shared, parts)), classes)))
     rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", "sid", F.coalesce("component", "cid").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.coalesce(F.min("doc_id"), F.min("sid")).alias("first_sid"))
-    return rows, cut(rooted.join(first, "root").select("cid", "first_doc", "first_sid"), "roots")
+    return rows, cut(rooted.join(first, "root").select("cid", "root", "first_doc", "first_sid"), "roots")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -422,11 +422,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id; rows without words stay.
 
-    Of repeated rows with that doc_id one stays.
+    Of several rows of a component with that doc_id one stays; rows of other components with the same
+    doc_id are no part of that.
     """
     names = docs.columns
     rows, roots = _joined(docs)
-    stays = rows.where("n > 0").join(roots, "cid").where("sid = first_sid").select("sid").distinct()
-    base = docs.withColumns({"sid_": F.coalesce("doc_id", F.xxhash64(text_of())), "wordless_": ~text_of().rlike(r"[^\x20\x09-\x0D]")})
-    held = base.join(stays, F.col("sid_") == F.col("sid"), "left_semi").where("not wordless_").dropDuplicates(["sid_"])
+    stays = rows.where("n > 0").join(roots, "cid").where("sid = first_sid").groupBy("root", "sid").agg(F.min("th").alias("th"))
+    base = docs.withColumns({"sid_": F.coalesce("doc_id", F.xxhash64(text_of())), "th_": F.xxhash64(text_of()), "wordless_": ~text_of().rlike(r"[^\x20\x09-\x0D]")})
+    held = base.join(stays, (F.col("sid_") == F.col("sid")) & (F.col("th_") == F.col("th")), "left_semi").where("not wordless_").dropDuplicates(["sid_", "th_"])
     return held.unionByName(base.where("wordless_")).select(*names)

@@ -67,6 +67,16 @@ def test_ngram_join(spark):
     assert sorted(map(str, kept)) == sorted(map(str, {c for i, c in want.values() if i} | {k for k, (i, _) in want.items() if not i}))
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows of one doc_id in different components: each component keeps its row."""
+    r = random.Random(21)
+    texts = [h.prose(r, 60) for _ in range(6)]
+    rows = [(1, x, "en", "s", 0) for x in texts] + [(1, texts[0], "en", "s", 0), (1, texts[0] + " more", "en", "s", 0), (2, texts[1], "en", "s", 0)]
+    kept = [(x["doc_id"], x["text"]) for x in ngram_join.keep_one(h.frame(spark, rows)).collect()]
+    first = [x for x in kept if x[1].startswith(texts[0])]
+    assert len(first) == 1 and sorted(x for x in kept if x not in first) == sorted((1, x) for x in texts[1:])
+
+
 def test_ngram_empty(spark):
     assert ngram_join.jaccard_components(h.frame(spark, [])).count() == 0
 
