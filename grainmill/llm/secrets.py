@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Every whole text is scanned for the base kinds. Then a worklist unwraps what looks encoded:
-percent-escapes, Unicode and hex escapes, base64 (also URL-safe) and gzip/zlib/bzip2 streams inside
-it, each layer again, until no layer is new. A layer is known by a digest of its bytes along the
+percent-escapes, Unicode and hex escapes, base64 (also URL-safe, also over several lines) and
+gzip/zlib/bzip2 streams inside it or in escaped bytes, each layer again, until no layer is new. A layer is known by a digest of its bytes along the
 chain that led to it, which ends cycles. Each layer keeps, for every character, where it came from
 in the original text, so a secret found at any depth is reported as a span of the original.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
@@ -35,8 +36,18 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f
 ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
-#: A compressed stream is unwrapped up to this many bytes; beyond it, it is no text but a bomb.
-MOST_INFLATED = 64 << 20
+#: Base64 of several lines, and the lines of it.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+PART = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Percent- and backslash-escaped bytes from the head of a compressed stream on, plain ones between them.
+QUOTED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:BZh|%42%5[Aa]%68)(?:[1-9]|%3[1-9]))(?:%[0-9A-Fa-f]{2}|[!$&-.0-9:;=?@A-Z_a-z~/])*")
+SLASHED = re.compile(r"(?:\\x1[Ff]\\x8[Bb]|(?:x|\\x78)(?:\\x01|\^|\\x5[Ee]|\\x9[Cc]|\\x[Dd][Aa])|(?:BZh|\\x42\\x5[Aa]\\x68)(?:[1-9]|\\x3[1-9]))(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])*")
+BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"])|([ -~])")
+NAMED = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
+#: A compressed stream is unwrapped in layers of so many bytes, each with the end of the one before.
+MOST_INFLATED, AGAIN = 64 << 20, 1 << 20
+#: Bytes of a stream that are inflated at once: what comes before a broken place is kept up to these.
+STEP = 16
 
 
 @dataclass
@@ -58,19 +69,61 @@ def matches(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0):
-            out = zlib.decompressobj(47)
-            data = out.decompress(raw, MOST_INFLATED)
-            return data if out.eof else None
-        if raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor()
-            data = out.decompress(raw, MOST_INFLATED)
-            return data if out.eof else None
-    except (zlib.error, OSError, ValueError):
-        pass
-    return None
+def _stream(raw: bytes):
+    """A decompressor for what begins like a compressed stream."""
+    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if raw[:3] == b"BZh" else None
+
+
+def _inflated(raw: bytes, used: list[int]) -> Iterator[bytes]:
+    """What the streams at the front of raw hold, one after the other, in blocks; as far as they can be read.
+
+    used gets the number of bytes read and whether the first stream had its end.
+    """
+    at, whole = 0, False
+    while (out := _stream(raw[at : at + 3])) is not None:
+        got, begun = 0, at
+        try:
+            while at < len(raw) and not out.eof:
+                step = raw[at : at + STEP]
+                at += len(step)
+                block = out.decompress(step, MOST_INFLATED)
+                while block:
+                    got += len(block)
+                    yield block
+                    if out.eof:
+                        break
+                    block = out.decompress(out.unconsumed_tail if hasattr(out, "unconsumed_tail") else b"", MOST_INFLATED)
+        except (zlib.error, OSError, ValueError, EOFError):
+            if not got:
+                at = begun
+            break
+        if not out.eof:
+            break
+        whole = True
+        at -= len(out.unused_data)
+    used[:] = [at, whole]
+
+
+def _layers(raw: bytes, used: list[int]) -> Iterator[str]:
+    """The texts in compressed streams, in layers of MOST_INFLATED bytes that share AGAIN bytes."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("surrogateescape"), ""
+    parts, size = [], 0
+    for block in _inflated(raw, used):
+        parts.append(decoder.decode(block))
+        size += len(block)
+        if size >= MOST_INFLATED:
+            text = held + "".join(parts)
+            held, parts, size = text[-AGAIN:], [], 0
+            if _readable(text):
+                yield text
+    if parts and _readable(text := held + "".join(parts)):
+        yield text
+
+
+def _readable(text: str) -> bool:
+    return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) > 0
 
 
 def _as_text(raw: bytes) -> str | None:
@@ -78,7 +131,7 @@ def _as_text(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) > 0 else None
+    return text if _readable(text) else None
 
 
 def _byte_owner(text: str) -> np.ndarray:
@@ -87,15 +140,15 @@ def _byte_owner(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(widths)])
 
 
-def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
-    """(start, end, decoded, starts, ends) of what can be unwrapped; spans are in the layer's text."""
+def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, bool]]:
+    """(start, end, decoded, starts, ends, apart) of what can be unwrapped; spans are in the layer's text."""
     text = layer.text
     if "%" in text:
         for m in PERCENT.finditer(text):
             raw = bytes.fromhex(m[0].replace("%", ""))
             if (got := _as_text(raw)) is not None:
                 at = m.start() + 3 * _byte_owner(got)
-                yield m.start(), m.end(), got, at[:-1], at[1:]
+                yield m.start(), m.end(), got, at[:-1], at[1:], False
     if "\\" in text or "&#" in text:
         for m in ESCAPE.finditer(text):
             out, units = [], []
@@ -117,38 +170,64 @@ def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarra
                 got = "".join(map(chr, chars))
                 if not any(0xD800 <= c < 0xE000 for c in chars):
                     at = np.array(spans)
-                    yield m.start(), m.end(), got, at[:, 0], at[:, 1]
+                    yield m.start(), m.end(), got, at[:, 0], at[:, 1], False
     for m in BASE64.finditer(text):
-        whole = m[0]
-        if not MIXED.search(whole):
-            continue
-        body = whole.rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if (inner := _inflated(raw)) is not None:
-            if (got := _as_text(inner)) is not None:  # every character comes from the whole stream
-                n = len(got)
-                yield m.start(), m.end(), got, np.full(n, m.start()), np.full(n, m.end())
-        elif (got := _as_text(raw)) is not None:
-            at = _byte_owner(got)
-            first, last = m.start() + at[:-1] // 3 * 4 + at[:-1] % 3, m.start() + (at[1:] - 1) // 3 * 4 + (at[1:] - 1) % 3 + 2
-            yield m.start(), m.end(), got, first, np.minimum(last, m.start() + len(body))
+        yield from _in_base64(m[0].rstrip("="), np.arange(m.start(), m.end()), m.end())
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            lines = [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
+            for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):  # the first or last line may be other text
+                part = lines[a : len(lines) - b]
+                if len(part) > 1:
+                    found = list(_in_base64("".join(text[x:y] for x, y in part), np.concatenate([np.arange(x, y) for x, y in part]), part[-1][1]))
+                    yield from found
+                    if found:
+                        break
+    for pattern, sign in ((QUOTED, "%"), (SLASHED, "\\")):
+        for m in pattern.finditer(text) if sign in text else ():
+            raw, ends = bytearray(), []
+            for x in BYTE.finditer(m[0]):
+                raw.append(int(x[1] or x[2], 16) if x[1] or x[2] else NAMED[x[3]] if x[3] else ord(x[4]))
+                ends.append(m.start() + x.end())
+            used = []
+            for got in list(_layers(bytes(raw), used)):
+                yield m.start(), ends[used[0] - 1], got, *_all(got, m.start(), ends[used[0] - 1]), True
+
+
+def _all(got: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every character comes from the whole stream."""
+    return np.broadcast_to(np.int64(a), len(got)), np.broadcast_to(np.int64(b), len(got))
+
+
+def _in_base64(body: str, at: np.ndarray, end: int) -> Iterator[tuple]:
+    """What the base64 body holds whose characters are at these places of the text."""
+    if not MIXED.search(body) or len(body) % 4 == 1:
+        return
+    try:
+        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    a, used = int(at[0]), []
+    for got in _layers(raw, used):
+        yield a, end, got, *_all(got, a, end), True
+    if not used[1] and (got := _as_text(raw)) is not None:
+        own = _byte_owner(got)
+        first, last = own[:-1] // 3 * 4 + own[:-1] % 3, np.minimum((own[1:] - 1) // 3 * 4 + (own[1:] - 1) % 3 + 1, len(body) - 1)
+        yield a, end, got, at[first], at[last] + 1, True
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
     """Percent- and character-escapes are replaced in place; what base64 holds is a layer of its own."""
     places, apart = [], []
     for piece in _pieces(layer):
-        (places if layer.text[piece[0]] in "%\\&" else apart).append(piece)
+        (apart if piece[5] else places).append(piece[:5])
     n = len(layer.text)
     start = np.arange(n) if layer.start is None else layer.start
     end = np.arange(1, n + 1) if layer.end is None else layer.end
 
     def mapped(first, last):
+        if len(first) and first.strides == last.strides == (0,):
+            return np.broadcast_to(start[first[0] : last[0]].min(), len(first)), np.broadcast_to(end[first[0] : last[0]].max(), len(first))
         return np.array([start[a:b].min() for a, b in zip(first, last)], np.int64), np.array([end[a:b].max() for a, b in zip(first, last)], np.int64)
 
     if places:

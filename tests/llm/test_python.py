@@ -1,12 +1,14 @@
 """Token counts, n-gram join, decontamination, secrets, toxicity and archives."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import io
 import random
 import urllib.parse
 import zipfile
+import zlib
 
 import pytest
 
@@ -152,6 +154,27 @@ def test_secrets(spark):
     assert secrets.scan_secrets(h.frame(spark, [])).count() == 0
 
 
+def test_secrets_in_damaged_and_wrapped_layers(monkeypatch):
+    secret, r = b"token=abcdef1234 ", random.Random(4)
+    noise = h.prose(r, 300).encode()
+    found = lambda text: [x for x in secrets.scan(text)[1] if x[1] == 0]
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    packed = gzip.compress(noise[:200] + secret + noise)
+    assert found("x " + b64(gzip.compress(secret + noise)[:-200]) + " y")  # no trailer
+    assert found("x " + b64(gzip.compress(noise) + gzip.compress(secret)) + " y")  # second member
+    lines = base64.encodebytes(packed).decode()
+    assert "\n" in lines.strip() and found("see:\n" + lines + "\nThe end") and found("see:\n" + lines.rstrip("=\n") + "\nThe end")
+    assert found(base64.encodebytes(noise[:50] + b" " + secret + noise).decode())  # across a line break
+    for codec in (gzip.compress, zlib.compress, bz2.compress):
+        raw = codec(secret + noise)
+        for text in (urllib.parse.quote(raw), "".join(f"%{c:02x}" for c in raw), "".join(f"\\x{c:02x}" for c in raw), repr(raw)[2:-1]):
+            assert found("a " + text + " b"), (codec, text[:40])
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1000)
+    monkeypatch.setattr(secrets, "AGAIN", 100)
+    assert found(b64(gzip.compress(b"word " * 990 + secret + b"word " * 990)))  # beyond the bound
+    assert found(b64(bz2.compress(b"word " * 990 + secret + b"word " * 990)))
+
+
 def segments(scores):
     """All maximal segments by their definition: recursively the best, then what is left and right of it."""
     best = max(((sum(scores[i : j + 1]), -i, -j) for i in range(len(scores)) for j in range(i, len(scores))), default=(0, 0, 0))
