@@ -28,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made and set.
     """
     ready(spark)
     context = spark.sparkContext
     where = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
     if not where:
+        if not context.master.startswith("local["):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         where = getattr(spark, "_grainmill_shared", None) or "file://" + tempfile.mkdtemp(prefix="grainmill-")
         spark._grainmill_shared = where
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -57,18 +59,32 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clear, spark)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
+def discard(*cuts: DataFrame) -> None:
+    """Deletes what cut() wrote for tables that nothing reads any more."""
+    for df in cuts:
+        if (path := df.__dict__.pop("_cut", None)) in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+
+
+#: Paths that go at the end: of cuts, and of files that operators write into the shared folder.
 _WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clear(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
         for path in _WRITTEN:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -85,19 +101,19 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(nodes_with_links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(nodes_with_links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the links (a, b), as (node, component = smallest node id).
 
-    Alternates large-star and small-star; each round is a shuffle over the links, and no vertex's
-    neighbours meet in one task other than as an aggregate (min) or a skew-splittable join. Rounds
-    are cut through checkpoints. Nulls, loops and repeated links are ignored; no links, no rows.
+    Alternates large-star and small-star until nothing changes; each round is a shuffle over the
+    links, and no vertex's neighbours meet in one task other than as an aggregate (min) or a
+    skew-splittable join. Rounds are cut, and a round's files go when the next one is written. Nulls,
+    loops and repeated links are ignored; no links, no rows.
     """
-    spark = nodes_with_links.sparkSession
     edges = nodes_with_links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = edges.where("u is not null and v is not null and u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds if not edges.isEmpty() else 0):
+    before, state = None, (-1 if edges.isEmpty() else 0, 0)
+    while state != before and state[0] >= 0:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest of the neighbourhood
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -106,11 +122,9 @@ def components(nodes_with_links: DataFrame, a: str = "a", b: str = "b", max_roun
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (state["n"], state["h"]):
-            break
-        before = (state["n"], state["h"])
+        last, edges = edges, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
+        before, state = state, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).select("node", "component")
 

@@ -3,101 +3,87 @@
 Rows with equal texts form a group and stay together. A group has three dimensions: language and
 source (hashed codes; the smallest of its rows) and log size. A node is split along its widest
 dimension, as a fraction of the whole range, at the weighted median of bytes (for an odd number of
-leaves, at the fitting quantile), until every leaf has the target size. Medians are exact to 2^-36 of a
-dimension's range with a hash of the text as tie-break: each takes three rounds of distributed
-histograms with 4096 buckets a node, so the driver sees at most 4096 sums for each open node,
-whatever the number of rows. The law is ``bytes``.
+leaves, at the fitting quantile), until every leaf has the target size. A level of the tree is split at
+once: each group carries its node as a column, weights are added up by (node, value of the node's
+dimension), a running sum over these sums finds the value that holds the quantile, and the same over a
+hash of the texts finds the place within that value, to 2^-16 of its groups. A node has at most 65536
+sums, whatever the number of rows; the driver sees none of them. The law is ``bytes``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import cut, text_of
 
 DIMENSIONS = ("d_lang", "d_source", "d_size")
-TIE_BITS, STEP, ROUNDS = 20, 12, 3
-BITS = STEP * ROUNDS
-
-
-@dataclass
-class Node:
-    first: int  # the leaf with the lowest number
-    leaves: int
-    dim: str | None = None
-    at: int = 0  # keys below go left
-    left: "Node | None" = None
-    right: "Node | None" = None
+#: Codes of a dimension, and buckets of the hash that splits groups of one value.
+VALUES = TIES = 1 << 16
+#: A level's splits (a row per open node) are broadcast up to this many leaves, and joined by shuffles beyond.
+MOST_BROADCAST = 50_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, size (bytes and 1), CRC-32, 64-bit hash, codes: narrow, and cut from the texts."""
     raw = F.encode(text_of(), "UTF-8")
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(65536)).cast("int")
+    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(VALUES)).cast("int")
     return cut(docs.select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("x"), code("lang").alias("d_lang"), code("source").alias("d_source")), "shard")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     groups = rows.groupBy("size", "text_crc32", "x").agg(F.count("*").alias("n"), F.min("d_lang").alias("d_lang"), F.min("d_source").alias("d_source"))
-    d_size = F.least(F.lit(65535), F.floor(F.log2("size") * 1024)).cast("int")
-    return groups.withColumns({"weight": F.col("size") * F.col("n"), "d_size": d_size})
-
-
-def _key(dim: str) -> Column:
-    return F.col(dim).cast("long") * (1 << TIE_BITS) + F.pmod("x", F.lit(1 << TIE_BITS))
-
-
-def _place(node: Node, leaf) -> Column:
-    """A column over the tree; leaf(node) gives the column of a node without children."""
-    if node.left is None:
-        return leaf(node)
-    return F.when(_key(node.dim) < node.at, _place(node.left, leaf)).otherwise(_place(node.right, leaf))
-
-
-def _open(node: Node) -> list[Node]:
-    if node.left is None:
-        return [node] if node.leaves > 1 else []
-    return _open(node.left) + _open(node.right)
-
-
-def build_tree(groups: DataFrame, shards: int) -> Node:
-    root, whole = Node(0, shards), None
-    while _open(root):
-        nodes = _open(root)
-        held = groups.withColumn("node", _place(root, lambda n: F.lit(n.first if n.leaves > 1 else -1))).where("node >= 0")
-        told = {r["node"]: r for r in held.groupBy("node").agg(F.sum("weight").alias("weight"), *((F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS)).collect()}
-        for n in nodes:
-            n.leaves = n.leaves if n.first in told else 1  # nothing there to split
-        if not told:
-            break
-        whole = whole or told[0]  # widths count as fractions of the whole range
-        nodes = [n for n in nodes if n.first in told]
-        for n in nodes:
-            n.dim = max(DIMENSIONS, key=lambda d: told[n.first][d] / max(1, whole[d]))
-        low = {n.first: 0 for n in nodes}  # where the bucket with the quantile begins
-        seen = dict(low)  # the weight below it
-        key = F.coalesce(*(F.when(F.col("node") == n.first, _key(n.dim)) for n in nodes))
-        for left_bits in range(BITS - STEP, -1, -STEP):
-            base = F.coalesce(*(F.when(F.col("node") == n.first, F.lit(low[n.first]).cast("long")) for n in nodes))
-            inside = held.select("node", F.shiftright(key - base, left_bits).alias("bucket"), "weight").where(f"bucket >= 0 and bucket < {1 << STEP}")
-            sums = inside.groupBy("node", "bucket").agg(F.sum("weight").alias("w")).orderBy("node", "bucket").collect()
-            for n in nodes:
-                goal = told[n.first]["weight"] * (n.leaves // 2) / n.leaves
-                for _, bucket, w in (x for x in sums if x["node"] == n.first):
-                    if seen[n.first] + w > goal:
-                        # at last the bucket goes to the nearer side
-                        after = left_bits == 0 and seen[n.first] + w - goal < goal - seen[n.first]
-                        low[n.first] += (bucket + after) << left_bits
-                        break
-                    seen[n.first] += w
-        for n in nodes:
-            half = n.leaves // 2
-            n.at, n.left, n.right = low[n.first], Node(n.first, half), Node(n.first + half, n.leaves - half)
-    return root
+    d_size = F.least(F.lit(VALUES - 1), F.floor(F.log2("size") * 1024)).cast("int")
+    return groups.withColumns({"weight": F.col("size") * F.col("n"), "d_size": d_size, "tie": F.pmod("x", F.lit(TIES)).cast("int")})
+
+
+def _crossing(sums: DataFrame, by: str) -> DataFrame:
+    """Of each node's (by, w), the first ``by`` whose running sum passes what is left of the goal, with what lies below."""
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("node").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("below", before + F.col("below")).where("below <= goal and below + w > goal")
+
+
+def _splits(held: DataFrame, spans: tuple[int, ...], small) -> DataFrame:
+    """node, leaves, dim, value and tie of every open node: groups below (value, tie) go left."""
+    node = ["node", "leaves"]
+    each = held.where("leaves > 1")
+    told = each.groupBy(*node).agg(F.sum("weight").alias("total"), *((F.max(d) - F.min(d)).alias(f"s{i}") for i, d in enumerate(DIMENSIONS)))
+    wide = [F.col(f"s{i}") / max(1, spans[i]) for i in range(len(DIMENSIONS))]
+    dim = F.when((wide[0] >= wide[1]) & (wide[0] >= wide[2]), 0).when(wide[1] >= wide[2], 1).otherwise(2)
+    goal = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    told = told.select(F.col("node").alias("node_"), dim.alias("dim"), goal.alias("goal"))
+    each = each.join(small(told), F.col("node") == F.col("node_")).drop("node_").withColumn("value", _value("dim"))
+    by_value = each.groupBy(*node, "dim", "goal", "value").agg(F.sum("weight").alias("w")).withColumn("below", F.lit(0))
+    found = _crossing(by_value, "value").select(F.col("node").alias("node_"), F.col("value").alias("value_"), "below")
+    # the (node, value) sums are made once more here; they are small, and a cut would cost another job
+    inside = each.join(small(found), (F.col("node") == F.col("node_")) & (F.col("value") == F.col("value_")))
+    by_tie = inside.groupBy(*node, "dim", "goal", "value", "below", "tie").agg(F.sum("weight").alias("w"))
+    nearer = F.col("below") + F.col("w") - F.col("goal") < F.col("goal") - F.col("below")
+    return cut(_crossing(by_tie, "tie").select(*node, "dim", "value", (F.col("tie") + nearer.cast("int")).alias("tie")), "splits")
+
+
+def _value(dim: str):
+    return F.when(F.col(dim) == 0, F.col(DIMENSIONS[0])).when(F.col(dim) == 1, F.col(DIMENSIONS[1])).otherwise(F.col(DIMENSIONS[2]))
+
+
+def place(groups: DataFrame, shards: int, spans: tuple[int, ...]) -> DataFrame:
+    """The groups with ``node``, the number of their shard."""
+    small = F.broadcast if shards <= MOST_BROADCAST else lambda table: table
+    names = [c for c in groups.columns if c != "node"]
+    held = groups.withColumn("leaves", F.lit(shards))
+    for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+        if level and level % 4 == 0:  # else the plan grows with the depth
+            held = cut(held, "level")
+        splits = _splits(held, spans, small).toDF("node_", "leaves_", "dim_", "value_", "tie_")
+        held = held.join(small(splits), F.col("node") == F.col("node_"), "left")
+        half, at = F.floor(F.col("leaves") / 2).cast("int"), _value("dim_")
+        left = (at < F.col("value_")) | (at == F.col("value_")) & (F.col("tie") < F.col("tie_"))
+        node = F.when(F.col("node_").isNull() | left, F.col("node")).otherwise(F.col("node") + half)
+        leaves = F.when(F.col("node_").isNull(), F.col("leaves")).when(left, half).otherwise(F.col("leaves") - half)
+        held = held.select(*names, node.alias("node"), leaves.alias("leaves"))
+    return held.select(*names, "node")
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, rows_a_slice: int = 20_000) -> DataFrame:
@@ -105,18 +91,17 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
     Slots count from 0 without gaps in each shard; they are dealt in hashed slices of about
     ``rows_a_slice`` rows, so no task sees a whole shard. A null text counts as empty (size 1); null
-    lang, source or doc_id are values like others; repeated rows get a slot each. A shard may be
-    empty where there are fewer texts than shards. An empty table gives no rows. Further columns
-    are left out.
+    lang, source or doc_id are values like others; repeated rows get a slot each. Of equal weights at
+    a split the lower ones go left. A shard may be empty where there are fewer texts than shards. An
+    empty table gives no rows. Further columns are left out.
     """
     rows = keyed(docs)
-    groups = cut(_grouped(rows), "groups")
-    told = groups.agg(F.sum("weight").alias("bytes"), F.sum("n").alias("rows")).first()
+    groups = cut(_grouped(rows).withColumn("node", F.lit(0)), "groups")
+    told = groups.agg(F.sum("weight"), F.sum("n"), *((F.max(d) - F.min(d)) for d in DIMENSIONS)).first()
     if shards is None:
-        shards = max(1, math.ceil((told["bytes"] or 0) / target_bytes))
-    tree = build_tree(groups, shards)
-    placed = groups.select("size", "text_crc32", "x", _place(tree, lambda n: F.lit(n.first)).alias("shard"))
-    slices = max(1, math.ceil((told["rows"] or 0) / shards / rows_a_slice))
+        shards = max(1, math.ceil((told[0] or 0) / target_bytes))
+    placed = place(groups, shards, tuple(x or 0 for x in told[2:])).select("size", "text_crc32", "x", F.col("node").alias("shard"))
+    slices = max(1, math.ceil((told[1] or 0) / shards / rows_a_slice))
     rows = rows.select("doc_id", "size", "text_crc32", "x").join(placed, ["size", "text_crc32", "x"])
     rows = cut(rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "x"), F.lit(slices)).cast("int")), "placed")
     counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n"))
