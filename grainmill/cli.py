@@ -8,6 +8,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainmill import __version__
 from grainmill.operators import analysis, filters, gate, index, quality, search
@@ -60,7 +61,9 @@ def _fingerprint(a) -> None:
     stats = index.minimizer_stats(chunks, a.q, a.w).first().asDict()
     told = {"num_chunks": n, "q": a.q, "w": a.w, "bloom_bits": a.bloom_bits, "k": a.k, "min_query_len": a.w + a.q - 1, **{f"minimizers_per_chunk_{k}": v for k, v in stats.items()}}
     if a.verify:
-        told |= quality.bloom_property(chunks, q=a.q, w=a.w, bits=a.bloom_bits, k=a.k).first().asDict()
+        # as many chunks as trials, those of the smallest seeded hashes
+        tried = chunks.orderBy(F.xxhash64("chunk_id", F.lit(42))).limit(a.verify_trials)
+        told |= quality.bloom_property(tried, q=a.q, w=a.w, bits=a.bloom_bits, k=a.k).agg(F.sum("trials").alias("trials"), F.sum("failures").alias("failures")).first().asDict()
     with open(a.out_json or a.archive + ".fingerprints.json", "w") as f:
         json.dump(told, f, indent=2)
     print(json.dumps(told))
@@ -83,10 +86,11 @@ def _search(a) -> None:
     text = a.query.encode() if a.query is not None else open(a.qfile, "rb").read() if a.qfile else sys.stdin.buffer.read()
     queries = chunks.sparkSession.createDataFrame([(0, bytearray(text))], "qid long, q binary")
     post, n = index.postings(chunks, index.Policy(a.q, a.w)), chunks.count()
-    found = search.l0_summary(queries, post, n, q=a.q, w=a.w) if a.no_adaptive else search.l0_adaptive(queries, post, n, a.w)
+    found, near = search.l0_both(queries, post, n, adaptive=not a.no_adaptive, **({"q": a.q} if a.no_adaptive else {}), w=a.w)
     told = found.first().asDict()
+    every = told.pop("all")
     if a.json:
-        told["candidates"] = sorted(r["chunk_id"] for r in search.l0_search(queries, post, n, q=a.q, w=a.w).toLocalIterator())
+        told["candidates"] = list(range(n)) if every else sorted(r["chunk_id"] for r in near.toLocalIterator())
     print(json.dumps(told))
 
 

@@ -68,6 +68,12 @@ def entropy(counts: np.ndarray) -> float:
     return abs(round(float(-(p * np.log2(p)).sum()), 9))
 
 
+def bloom_places(crcs: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """A row of k bit positions for each key; ``bits`` is a power of two, so only crc modulo bits counts."""
+    r = crcs.astype(np.uint64)
+    return ((r * np.uint64(0x9E3779B9))[:, None] + r[:, None] * np.arange(k, dtype=np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def key64(crc: int) -> int:
     """The exported 64-bit key: a function of the CRC, with the same order."""
     return crc << 32 | crc * 0x9E3779B9 & 0xFFFFFFFF

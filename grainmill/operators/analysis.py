@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.cuts import cut
 from grainmill.functions import kernels
 from grainmill.functions.columns import hex64
 from grainmill.operators.arrow import buffers, each
+from grainmill.sources.chunks import numbers
 
 
 def byte_histogram(chunks: DataFrame) -> DataFrame:
@@ -95,15 +97,12 @@ def entropy_profile(chunks: DataFrame, size: int = 64) -> DataFrame:
 
     Slot i takes element floor(i * n / size); no chunks give no rows.
     """
-    from pyspark.sql import Window
-
-    e = chunk_entropy(chunks)
+    e = cut(chunk_entropy(chunks), "entropy")
     told = e.agg(F.count("*").alias("n"), F.min("entropy").alias("lo"), F.max("entropy").alias("hi")).first()
     spark, n = chunks.sparkSession, told["n"]
     slots = spark.range(size if n else 0).select(F.col("id").cast("int").alias("slot"))
     pick = F.floor(F.col("slot").cast("long") * n / size) if n > size else F.col("slot").cast("long")
-    # positions by rank of the id; only chunk ids and entropies take part
-    numbered = e.withColumn("pos", (F.row_number().over(Window.orderBy("chunk_id")) - 1).cast("long"))
+    numbered = numbers(e)
     width = (told["hi"] or 0.0) - (told["lo"] or 0.0)
     value = (F.col("entropy") - (told["lo"] or 0.0)) / width if width else F.lit(0.0)
     return slots.withColumn("pos", pick).join(numbered, "pos", "left").select("slot", F.coalesce(value, F.lit(0.0)).alias("value"))

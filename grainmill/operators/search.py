@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.cuts import cut
 from grainmill.operators.arrow import minimizers
 from grainmill.operators.index import block_masks
 
@@ -13,17 +15,19 @@ MOST = 256
 
 def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w: int = 8, block_size: int = 64) -> tuple[DataFrame, DataFrame]:
     """Per query: (qid, method, source, b_anchors, c_anchors, best_df) and its candidates (qid, chunk_id)
-    before neighbours are added. Ties between keys of equal df go to the smaller key.
+    before neighbours are added; those of a fallback, all chunks, are left out. Ties between keys of equal df go to the smaller key.
 
     Layer B gives the union of the two rarest lists, or the rarest alone where the union exceeds MOST.
     Layer C (blocks) stands in where B has nothing or still too much. Above half the corpus, or without
     any anchor, all chunks are candidates (source 'fallback').
     """
-    qk = minimizers(queries, q, w, "self", "qid")
+    # a query shorter than q is not looked up; only the queries' own keys of the index go further
+    qk = cut(minimizers(queries.where(F.octet_length(queries.columns[1]) >= q), q, w, "self", "qid"), "keys")
+    post = cut(post.join(qk.select("crc").distinct(), "crc", "left_semi"), "post")
     masks = block_masks(post, block_size)
     c_df = masks.groupBy("crc").agg((F.count("*") * block_size).alias("df")).select("crc", "df", F.lit("C").alias("layer"))
     keys = post.where("layer = 'B'").select("crc", "df", "layer").distinct().unionByName(c_df)
-    hits = qk.join(keys, "crc").withColumn("rk", F.row_number().over(Window.partitionBy("qid", "layer").orderBy("df", "crc")))
+    hits = cut(qk.join(keys, "crc"), "hits").withColumn("rk", F.row_number().over(Window.partitionBy("qid", "layer").orderBy("df", "crc")))
     b, c = F.col("layer") == "B", F.col("layer") == "C"
     anchors = hits.groupBy("qid").agg(F.count_if(b).alias("nb"), F.count_if(c).alias("nc"), F.min(F.when(b, F.col("df"))).alias("df_b"), F.min(F.when(c, F.col("df"))).alias("df_c"))
     two = hits.where("rk <= 2").select("qid", "crc", "layer", "rk")
@@ -31,7 +35,7 @@ def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w:
     low = F.col("block_id") * block_size
     blocks = two.where("layer = 'C'").join(masks, "crc").where(low < n_chunks)
     blocks = blocks.select("qid", F.explode(F.sequence(low, F.least(low + block_size, F.lit(n_chunks)) - 1)).alias("chunk_id"), "layer", "rk")
-    pool = lists.unionByName(blocks).groupBy("qid", "chunk_id", "layer").agg(F.min("rk").alias("rk"))
+    pool = cut(lists.unionByName(blocks).groupBy("qid", "chunk_id", "layer").agg(F.min("rk").alias("rk")), "pool")
     sizes = pool.groupBy("qid").agg(F.count_if(b).alias("n12"), F.count_if(b & (F.col("rk") == 1)).alias("n1"), F.count_if(c).alias("ncc"))
     s = queries.select("qid").join(anchors, "qid", "left").join(sizes, "qid", "left")
     s = s.na.fill(0, ["nb", "nc", "n12", "n1", "ncc"])
@@ -45,11 +49,10 @@ def l0_parts(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w:
     named = F.when(F.col("all"), "fallback").when(F.col("take_c"), "c_top2").when(F.col("n12") > MOST, "b_best1").when(F.col("nb") >= 2, "b_isect").otherwise("b_best")
     source = F.when(F.col("all"), "fallback").when(F.col("label_c"), "C").when(F.col("nb") >= 2, "B_isect").otherwise("B")
     best = F.when(F.col("label_c"), F.col("df_c")).otherwise(F.col("df_b"))
-    summary = s.select("qid", F.when(~F.col("found"), "l0_fallback").otherwise(F.concat(F.lit("l0_"), named, F.lit("_"), (F.col("nb") + F.col("nc")).cast("string"))).alias("method"), source.alias("best_source"), F.col("nb").alias("b_anchors"), F.col("nc").alias("c_anchors"), F.coalesce(best, F.lit(0)).alias("best_df"), "all", "take_c", (F.col("n12") > MOST).alias("only_first"), "found")
+    summary = cut(s.select("qid", F.when(~F.col("found"), "l0_fallback").otherwise(F.concat(F.lit("l0_"), named, F.lit("_"), (F.col("nb") + F.col("nc")).cast("string"))).alias("method"), source.alias("best_source"), F.col("nb").alias("b_anchors"), F.col("nc").alias("c_anchors"), F.coalesce(best, F.lit(0)).alias("best_df"), "all", "take_c", (F.col("n12") > MOST).alias("only_first"), "found"), "summary")
     use = summary.select("qid", "all", "take_c", "only_first")
     picked = pool.join(use.where("not all"), "qid").where("(take_c and layer = 'C') or (not take_c and layer = 'B' and (not only_first or rk = 1))").select("qid", "chunk_id")
-    every = use.where("all").select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk_id")) if n_chunks else picked
-    return summary, picked.unionByName(every)
+    return summary, picked
 
 
 def neighbours(candidates: DataFrame, n_chunks: int) -> DataFrame:
@@ -58,37 +61,65 @@ def neighbours(candidates: DataFrame, n_chunks: int) -> DataFrame:
     return candidates.select("qid", F.explode(F.array(c - 1, c, c + 1)).alias("chunk_id")).where((F.col("chunk_id") >= 0) & (F.col("chunk_id") < n_chunks)).distinct()
 
 
+def everything(queries: DataFrame, n_chunks: int, at_once: int = 1 << 16) -> DataFrame:
+    """(qid, chunk_id): all chunks for each query, in runs, so that no row holds them all."""
+    runs = queries.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (n_chunks - 1) // at_once)).cast("long"))).alias("run"))
+    low = F.col("run") * at_once
+    return runs.where(low < n_chunks).select("qid", F.explode(F.sequence(low, F.least(low + at_once, F.lit(n_chunks)) - 1)).alias("chunk_id"))
+
+
+def told(summary: DataFrame, near: DataFrame, n_chunks: int) -> DataFrame:
+    """The summary's columns with the number of candidates; that of a fallback is known without listing them."""
+    counts = near.groupBy("qid").agg(F.count("*").alias("near"))
+    rows = summary.join(counts, "qid", "left").withColumn("cand_count", F.when(F.col("all"), F.lit(n_chunks).cast("long")).otherwise(F.coalesce("near", F.lit(0))))
+    return rows.select("qid", "method", (F.col("b_anchors") + F.col("c_anchors")).alias("anchors_found"), "b_anchors", "c_anchors", "best_df", "best_source", "cand_count", F.round(100 * F.col("cand_count") / n_chunks, 6).alias("cand_pct"), F.col("found").cast("double").alias("l0_hit_rate"), "all")
+
+
 def l0_search(queries: DataFrame, post: DataFrame, n_chunks: int, **how) -> DataFrame:
     """(qid, chunk_id): the candidates of each query (qid, q), neighbours included."""
-    return neighbours(l0_parts(queries, post, n_chunks, **how)[1], n_chunks)
+    summary, picked = l0_parts(queries, post, n_chunks, **how)
+    return neighbours(picked, n_chunks).unionByName(everything(summary.where("all"), n_chunks))
 
 
 def l0_summary(queries: DataFrame, post: DataFrame, n_chunks: int, **how) -> DataFrame:
     """qid, method, anchors_found, b_anchors, c_anchors, best_df, best_source, cand_count, cand_pct, l0_hit_rate."""
-    summary, cand = l0_parts(queries, post, n_chunks, **how)
-    counts = neighbours(cand, n_chunks).groupBy("qid").agg(F.count("*").alias("cand_count"))
-    return summary.join(counts, "qid", "left").select("qid", "method", (F.col("b_anchors") + F.col("c_anchors")).alias("anchors_found"), "b_anchors", "c_anchors", "best_df", "best_source", F.coalesce("cand_count", F.lit(0)).alias("cand_count"), F.round(100 * F.coalesce("cand_count", F.lit(0)) / n_chunks, 6).alias("cand_pct"), F.col("found").cast("double").alias("l0_hit_rate"))
-
-
-def l0_adaptive(queries: DataFrame, post: DataFrame, n_chunks: int, w: int = 8, block_size: int = 64) -> DataFrame:
-    """The summary of the first of (8, w), (7, w / 2), (6, w / 4) that finds anchors, with q_used (null if none)."""
-    column, out = queries.columns[1], None
-    for q, width in ((8, w), (7, max(1, w // 2)), (6, max(1, w // 4))):
-        got = l0_summary(queries.where(F.octet_length(column) >= q), post, n_chunks, q=q, w=width, block_size=block_size).withColumn("q_used", F.lit(q))
-        out = got if out is None else out.unionByName(got)
-    names = out.columns
-    found = out.where("anchors_found > 0").groupBy("qid").agg(F.max_by(F.struct(*names), "q_used").alias("r")).select("r.*")
-    none = l0_summary(queries, post.limit(0), n_chunks, block_size=block_size).withColumn("q_used", F.lit(None).cast("int")).join(found.select("qid"), "qid", "left_anti")
-    return found.unionByName(none.select(*names))
+    summary, picked = l0_parts(queries, post, n_chunks, **how)
+    return told(summary, neighbours(picked, n_chunks), n_chunks).drop("all")
+
+
+def l0_both(queries: DataFrame, post: DataFrame, n_chunks: int, adaptive: bool = False, **how) -> tuple[DataFrame, DataFrame]:
+    """The summary with ``all`` (every chunk is a candidate), and the candidates of the other queries; with
+    ``adaptive`` also q_used."""
+    if not adaptive:
+        summary, picked = l0_parts(queries, post, n_chunks, **how)
+        near = neighbours(picked, n_chunks)
+        return told(summary, near, n_chunks), near
+    w = how.pop("w", 8)
+    rest, rows, lists = queries, None, None
+    for i, q in enumerate((8, 7, 6)):
+        summary, near = l0_both(rest, post, n_chunks, q=q, w=max(1, w >> i), **how)
+        summary = cut(summary, "adaptive")
+        hit = summary.where("anchors_found > 0")
+        done, near = hit.withColumn("q_used", F.lit(q)), near.join(hit.select("qid"), "qid", "left_semi")
+        rows, lists = (done, near) if rows is None else (rows.unionByName(done), lists.unionByName(near))
+        rest = rest.join(hit.select("qid"), "qid", "left_anti")
+    none = summary.where("anchors_found = 0").withColumn("best_source", F.lit("none")).withColumn("q_used", F.lit(0))
+    return rows.unionByName(none), lists
+
+
+def l0_adaptive(queries: DataFrame, post: DataFrame, n_chunks: int, **how) -> DataFrame:
+    """The summary of the first of (8, w), (7, w / 2), (6, w / 4) that finds anchors, with q_used (0 if none)."""
+    return l0_both(queries, post, n_chunks, adaptive=True, **how)[0].drop("all")
 
 
 def hotspot_search(queries: DataFrame, post: DataFrame, n_chunks: int, q: int = 8, w: int = 40, most: tuple[int, int] = (1, 10)) -> DataFrame:
     """(qid, chunk_id): neighbours of the rarest key's chunks. No row means no opinion: the query is
     shorter than w + q - 1 bytes, has no key in the index, or its rarest is in over most of the chunks."""
     keys = minimizers(queries.where(F.octet_length(queries.columns[1]) >= w + q - 1), q, w, "empty", "qid")
-    best = keys.join(post.select("crc", "df").distinct(), "crc").groupBy("qid").agg(F.min_by("crc", F.struct("df", "crc")).alias("crc"), F.min("df").alias("df"))
+    met = cut(keys.join(post, "crc"), "met")  # the queries' lists only; the index is read once
+    best = met.groupBy("qid").agg(F.min_by("crc", F.struct("df", "crc")).alias("crc"), F.min("df").alias("df"))
     best = best.where(F.col("df") <= n_chunks * most[0] // most[1])
-    return neighbours(best.select("qid", "crc").join(post.select("crc", "chunk_id"), "crc"), n_chunks)
+    return neighbours(met.join(best.select("qid", "crc"), ["qid", "crc"], "left_semi").select("qid", "chunk_id"), n_chunks)
 
 
 def exact_verify(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, across: bool = False) -> DataFrame:
@@ -100,12 +131,14 @@ def exact_verify(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, a
         data = data.join(following, "chunk_id", "left").select("chunk_id", F.concat("data", F.coalesce("next", F.unhex(F.lit("")))).alias("data"), F.octet_length("data").alias("own"))
     text = queries.columns[1]
     rows = candidates.join(queries.withColumnRenamed(text, "q_"), "qid").join(data, "chunk_id")
-    # binary search by hex: positions are even, as a match may not begin within a byte
-    rows = rows.withColumn("p", F.expr("locate(hex(q_), hex(data))"))
-    rows = rows.withColumn("at", F.when(F.col("p") % 2 == 1, (F.col("p") - 1) / 2).when(F.col("p") > 0, F.lit(-1)))
-    even = F.aggregate(F.sequence(F.lit(1), F.octet_length("data")), F.lit(-1), lambda s, i: F.when(s >= 0, s).when(F.substring("data", i, F.octet_length("q_")) == F.col("q_"), i - 1).otherwise(-1))
-    rows = rows.withColumn("at", F.when(F.col("at") < 0, even).otherwise(F.col("at")).cast("long"))
-    rows = rows.where("at >= 0")
-    if across:
-        rows = rows.where("at < own")
-    return rows.select("qid", "chunk_id", "at")
+
+    def find(batches):
+        for batch in batches:
+            qid, chunk, q, d = (batch.column(i).to_pylist() for i in range(4))
+            at = [(x or b"").find(y or b"") for x, y in zip(d, q)]
+            own = batch.column(4).to_pylist() if across else [len(x or b"") + 1 for x in d]
+            keep = [i for i, (p, n) in enumerate(zip(at, own)) if 0 <= p < n]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (qid, chunk, at)], ["qid", "chunk_id", "at"])
+
+    more = ("own",) if across else ()
+    return rows.select("qid", "chunk_id", "q_", "data", *more).mapInArrow(find, "qid long, chunk_id long, at long")

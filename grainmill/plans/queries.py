@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,9 @@ def corpus(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFra
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set: bytes 9 to 104 of every document whose id is divisible by 100."""
-    rows = corpus(spark, sf_dir).where((F.col("chunk_id") % 100 == 0) & (F.octet_length("data") >= 104))
-    return rows.select(F.col("chunk_id").alias("qid"), F.substring("data", 9, 96).alias("q"))
+    """The query set: every document whose id is divisible by 100; of those of 104 bytes or more, bytes 9 to 104."""
+    rows = corpus(spark, sf_dir).where(F.col("chunk_id") % 100 == 0)
+    return rows.select(F.col("chunk_id").alias("qid"), F.when(F.octet_length("data") >= 104, F.substring("data", 9, 96)).otherwise(F.col("data")).alias("q"))
 
 
 D, B, E, C, G, Q = sql.DOCS, sql.BYTES, sql.ENTROPY, sql.CRC, sql.grams, sql.QUERIES
@@ -139,9 +140,9 @@ def index_layers(spark, sf_dir):
     return index.postings(corpus(spark, sf_dir), LAYERED)
 
 
-@query(sql.with_(C, D, M) + LAYERS + "SELECT m.crc, id AS chunk_id, df, CASE WHEN df <= 16 THEN 'B' ELSE 'C' END AS layer FROM m JOIN f ON m.crc = f.crc WHERE df <= 64 AND (df > 16 OR m.crc IN (SELECT crc FROM f WHERE df <= 16 ORDER BY df, crc LIMIT 50000))")
+@query(sql.with_(C, D, M) + LAYERS + "SELECT m.crc, id AS chunk_id, df, CASE WHEN df <= 256 THEN 'B' ELSE 'C' END AS layer FROM m JOIN f ON m.crc = f.crc WHERE df <= 4096 AND (df > 256 OR m.crc IN (SELECT crc FROM f WHERE df <= 256 ORDER BY df, crc LIMIT 5000000))")
 def index_legacy_policy(spark, sf_dir):
-    return index.postings(corpus(spark, sf_dir), index.Policy(df_max=16, df_top=64, key_cap=50_000))
+    return index.postings(corpus(spark, sf_dir), index.LEGACY)
 
 
 @query(sql.with_(C, D, M) + LAYERS + "SELECT DISTINCT m.crc, id // 16 AS block_id FROM m JOIN f ON m.crc = f.crc WHERE df > 16")
@@ -172,9 +173,9 @@ def index_stats(spark, sf_dir):
 M40 = sql.minimizers("m", "d", 40, False)
 
 
-@query(sql.with_(C, D, M40) + LAYERS + "SELECT m.crc, id AS chunk_id, df FROM m JOIN f ON m.crc = f.crc WHERE df <= 8")
+@query(sql.with_(C, D, M40) + LAYERS + "SELECT m.crc, id AS chunk_id, df FROM m JOIN f ON m.crc = f.crc WHERE df <= 4096")
 def bounded_postings(spark, sf_dir):
-    return index.bounded_postings(corpus(spark, sf_dir), max_df=8)
+    return index.bounded_postings(corpus(spark, sf_dir))
 
 
 @query(sql.with_(C, D, M40) + LAYERS + ", r AS (SELECT df, row_number() OVER (ORDER BY df) - 1 AS i, count(*) OVER () AS n FROM f) SELECT min(df) AS min_df, max(df) AS max_df, min(df) FILTER (WHERE i = n // 2) AS median_df FROM r")
@@ -192,7 +193,7 @@ def minimizer_stats(spark, sf_dir):
     return index.minimizer_stats(corpus(spark, sf_dir))
 
 
-MQ = sql.minimizers("mq", "q")
+MQ = sql.minimizers("mq", "q", short=False)
 
 
 def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
@@ -211,7 +212,7 @@ def l0_search_summary(spark, sf_dir):
 
 
 @query(
-    sql.with_(C, D, Q, M40, sql.minimizers("mq", "q", 40, False)) + LAYERS
+    sql.with_(C, D, Q, M40, sql.minimizers("mq", "ql", 40, False)) + LAYERS
     + """, n AS (SELECT count(*) AS n FROM documents),
 h AS (SELECT mq.id AS qid, mq.crc, df, row_number() OVER (PARTITION BY mq.id ORDER BY df, mq.crc) AS rk FROM mq JOIN f ON mq.crc = f.crc),
 p AS (SELECT qid, m.id AS c FROM h JOIN m ON h.crc = m.crc, n WHERE rk = 1 AND df <= n // 10)
@@ -233,13 +234,15 @@ hit AS (SELECT qb.id AS qid, cb.id AS chunk_id FROM qb JOIN cb ON qb.bit = cb.bi
 """
 
 
-@query(sql.with_(C, D, Q, M, MQ, sql.search(), G("g", "d"), G("gq", "q")) + SKETCHED + "SELECT c.qid, c.chunk_id, h.qid IS NOT NULL AS hit FROM cand c LEFT JOIN hit h ON c.qid = h.qid AND c.chunk_id = h.chunk_id")
+@query(sql.with_(C, D, Q, M, MQ, sql.search(), G("g", "d"), G("gq", "q")) + SKETCHED + ", z AS (SELECT c.qid, c.chunk_id, h.qid IS NOT NULL OR c.qid NOT IN (SELECT id FROM need) AS hit FROM cand c LEFT JOIN hit h ON c.qid = h.qid AND c.chunk_id = h.chunk_id) SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY hit DESC, chunk_id) - 1)::INTEGER AS place FROM z")
 def sketch_reorder(spark, sf_dir):
     queries, post, n = _layered(spark, sf_dir)
     return filters.sketch_reorder(search.l0_search(queries, post, n, block_size=16), queries, filters.sketches(corpus(spark, sf_dir)))
 
 
-MB = sql.minimizers("mq", "q", 40, False)
+MB = sql.minimizers("mq", "ql", 40, False)
+#: A short query has no filter: all chunks pass.
+SHORT = " UNION ALL SELECT q.id, d.id, NULL FROM q, d WHERE len(q.b) < 47"
 
 
 @query(sql.with_(C, D, M40) + f"SELECT DISTINCT id AS chunk_id, unnest({sql.bloom_positions()}) AS pos FROM m")
@@ -253,28 +256,33 @@ def bloom_fill(spark, sf_dir):
     return blooms.select("chunk_id", F.bitmap_count("bloom").alias("bits"))
 
 
-@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + "SELECT qid, chunk_id, count(*) AS hits FROM hits GROUP BY ALL")
+@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + "SELECT qid, chunk_id, count(*) AS hits FROM hits GROUP BY ALL" + SHORT)
 def bloom_scan_any(spark, sf_dir):
     return filters.bloom_scan(slices(spark, sf_dir), corpus(spark, sf_dir))
 
 
-@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + ", k AS (SELECT id, count(*) AS k FROM mq GROUP BY id) SELECT qid, chunk_id, count(*) AS hits FROM hits JOIN k ON k.id = qid GROUP BY qid, chunk_id, k HAVING count(*) >= least(2, greatest(1, k))")
+@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + ", k AS (SELECT id, count(*) AS k FROM mq GROUP BY id) SELECT qid, chunk_id, count(*) AS hits FROM hits JOIN k ON k.id = qid GROUP BY qid, chunk_id, k HAVING count(*) >= least(2, greatest(1, k))" + SHORT)
 def bloom_scan_strict(spark, sf_dir):
     return filters.bloom_scan(slices(spark, sf_dir), corpus(spark, sf_dir), 2)
 
 
-@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + ", w AS (SELECT crc, count(DISTINCT chunk_id) AS df FROM hits GROUP BY crc) SELECT qid, chunk_id, round(sum(1 / df), 6) AS score FROM hits JOIN w USING (crc) GROUP BY ALL")
+@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + ", w AS (SELECT crc, count(DISTINCT chunk_id) AS df FROM hits GROUP BY crc), z AS (SELECT qid, chunk_id, round(sum(1 / df), 6) AS score FROM hits JOIN w USING (crc) GROUP BY ALL" + SHORT + ") SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM z")
 def bloom_scan_scored(spark, sf_dir):
-    return filters.bloom_scan_scored(slices(spark, sf_dir), corpus(spark, sf_dir)).select("qid", "chunk_id", F.round("score", 6).alias("score"))
+    return filters.bloom_scan_scored(slices(spark, sf_dir), corpus(spark, sf_dir))
 
 
-@query(sql.with_(C, D, Q, M, MQ, sql.search(), sql.minimizers("m40", "d", 40, False), sql.minimizers("mq40", "q", 40, False), sql.BLOOM.replace("FROM m)", "FROM m40)").replace("FROM mq)", "FROM mq40)")) + "SELECT qid, chunk_id FROM cand SEMI JOIN hits USING (qid, chunk_id)")
+@query(sql.with_(C, D, Q, M40, MB, sql.BLOOM) + ", w AS (SELECT qid, crc, count(*) AS df FROM hits GROUP BY ALL) SELECT mq.id AS qid, mq.crc, coalesce(df, 0) AS df, round(CASE WHEN df > 0 THEN 1 / df ELSE 0.0 END, 6)::DOUBLE AS weight FROM mq LEFT JOIN w ON mq.id = w.qid AND mq.crc = w.crc")
+def bloom_key_df(spark, sf_dir):
+    return filters.bloom_key_df(slices(spark, sf_dir), corpus(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+@query(sql.with_(C, D, Q, M, MQ, sql.search(), sql.minimizers("m40", "d", 40, False), sql.minimizers("mq40", "ql", 40, False), sql.BLOOM.replace("FROM m)", "FROM m40)").replace("FROM mq)", "FROM mq40)")) + "SELECT qid, chunk_id FROM cand SEMI JOIN hits USING (qid, chunk_id) UNION ALL SELECT qid, chunk_id FROM cand WHERE qid NOT IN (SELECT id FROM ql)")
 def bloom_filter_candidates(spark, sf_dir):
     queries, post, n = _layered(spark, sf_dir)
     return filters.bloom_filter_candidates(search.l0_search(queries, post, n, block_size=16), queries, corpus(spark, sf_dir))
 
 
-@query(sql.with_(C, D, Q, M, MQ, sql.search()) + ", hx AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), v AS (SELECT c.qid, c.chunk_id, instr(hx.h, substr(u.h, 17, 192)) AS p FROM cand c JOIN hx ON c.chunk_id = hx.doc_id JOIN hx u ON c.qid = u.doc_id) SELECT qid, chunk_id, ((p - 1) // 2)::BIGINT AS pos FROM v WHERE p % 2 = 1")
+@query(sql.with_(C, D, Q, M, MQ, sql.search()) + ", hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), v AS (SELECT c.qid, c.chunk_id, instr(hx.h, CASE WHEN length(u.h) >= 208 THEN substr(u.h, 17, 192) ELSE u.h END) AS p FROM cand c JOIN hx ON c.chunk_id = hx.doc_id JOIN hx u ON c.qid = u.doc_id) SELECT qid, chunk_id, ((p - 1) // 2)::BIGINT AS pos FROM v WHERE p % 2 = 1")
 def exact_verify(spark, sf_dir):
     queries, post, n = _layered(spark, sf_dir)
     found = search.exact_verify(search.l0_search(queries, post, n, block_size=16), queries, corpus(spark, sf_dir))
@@ -287,19 +295,43 @@ q AS (SELECT id, b[(id * 7919) % (len(b) - 95) + 1 : (id * 7919) % (len(b) - 95)
 
 @query(
     sql.with_(C, D, TRIALS, M, MQ, sql.search(256, 64))
-    + """, r AS (SELECT s.*, EXISTS (SELECT 1 FROM cand WHERE cand.qid = s.qid AND cand.chunk_id = s.qid) AS hit, n.n FROM summary s, n),
-g AS (SELECT *, anchors_found > 0 AND cand_count * 2 < n AS good FROM r)
-SELECT count(*) AS trials, round(count(*) FILTER (WHERE anchors_found > 0) / count(*), 4) AS hit_rate, round(100 * count(*) FILTER (WHERE good) / count(*), 1) AS effective_pct,
-  count(*) FILTER (WHERE anchors_found > 0 AND NOT good) AS fallback, count(*) FILTER (WHERE anchors_found = 0) AS miss,
-  round(1 - count(*) FILTER (WHERE good AND NOT hit) / count(*), 4) AS recall, count(*) FILTER (WHERE good AND NOT hit) AS recall_fail,
-  round(avg(cand_count) FILTER (WHERE good), 1) AS avg_cand, floor(quantile_cont(cand_count, 0.5) FILTER (WHERE good))::BIGINT AS med_cand FROM g"""
+    + ", r AS (SELECT s.*, EXISTS (SELECT 1 FROM cand WHERE cand.qid = s.qid AND cand.chunk_id = s.qid) AS hit, n.n FROM summary s, n) SELECT " + sql.METRICS
 )
 def retrieval_quality(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     return quality.retrieval_quality(quality.trials(chunks, 96), index.postings(chunks), chunks.count())
 
 
-@query(sql.with_(D) + "SELECT count(*) AS trials, 0::BIGINT AS failures FROM d WHERE len(b) >= 96")
+@query(
+    sql.with_(C, D, B, sql.RAW, M, MQ, sql.search(256, 64))
+    + ", r AS (SELECT u.*, length, EXISTS (SELECT 1 FROM cand WHERE cand.qid = u.qid AND cand.chunk_id BETWEEN low AND high) AS hit, n.n FROM summary u JOIN lim ON u.qid = lim.qid, n) SELECT length, " + sql.METRICS + " GROUP BY length"
+)
+def raw_offset_quality(spark, sf_dir):
+    """Slices of the corpus end to end, which may span documents."""
+    chunks = corpus(spark, sf_dir)
+    return quality.retrieval_quality(quality.raw_trials(chunks, (48, 192, 768), 100), index.postings(chunks), chunks.count(), by=("length",))
+
+
+def _passes() -> str:
+    """Summaries of the three passes: summary, summary_7 and summary_6."""
+    out = sql.with_(C, D, Q, M, MQ, sql.search())
+    for q, w in ((7, 4), (6, 2)):
+        out += "," + sql.minimizers("mq", "q", w, False, q).replace("g_mq", f"g_mq_{q}").replace("\nmq AS", f"\nmq_{q} AS") + ","
+        out += sql.renamed(re.sub(r"\n(n|f) AS [^\n]*", "", sql.search()), "hb|hc|lists|cc|s0|s1|s2|s3|s4|picked|cand|summary|mq|masks|fc", f"_{q}")
+    return out
+
+
+@query(
+    _passes()
+    + """, z AS (SELECT *, 8 AS q_used FROM summary WHERE anchors_found > 0 UNION ALL SELECT *, 7 FROM summary_7 WHERE anchors_found > 0 UNION ALL SELECT *, 6 FROM summary_6 WHERE anchors_found > 0
+  UNION ALL SELECT * REPLACE ('none' AS best_source), 0 FROM summary)
+SELECT * REPLACE (q_used::INTEGER AS q_used) FROM z QUALIFY row_number() OVER (PARTITION BY qid ORDER BY q_used DESC) = 1"""
+)
+def l0_adaptive(spark, sf_dir):
+    return search.l0_adaptive(*_layered(spark, sf_dir), block_size=16)
+
+
+@query(sql.with_(D) + "SELECT L::INTEGER AS length, count(*) AS trials, 0::BIGINT AS failures FROM d, (VALUES (47), (48), (96), (192)) v(L) WHERE len(b) >= L GROUP BY L")
 def bloom_no_false_negatives(spark, sf_dir):
     return quality.bloom_property(corpus(spark, sf_dir))
 

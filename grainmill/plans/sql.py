@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: The CRC's table by its recurrence, then seven derived ones, flattened: l[j * 256 + byte + 1].
 CRC = """
 t(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i)
@@ -47,9 +49,10 @@ def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
 
-#: Bytes 9 to 104 of the query set: every hundredth document that is long enough.
+#: Bytes 9 to 104 of every hundredth document, a shorter one as it is; and those that are long enough for filters.
 QUERIES = """
-q AS (SELECT id, b[9:104] AS b FROM d WHERE id % 100 = 0 AND len(b) >= 104)"""
+q AS (SELECT id, CASE WHEN len(b) >= 104 THEN b[9:104] ELSE b END AS b FROM d WHERE id % 100 = 0),
+ql AS (SELECT * FROM q WHERE len(b) >= 47)"""
 
 #: Documents' bytes one by one.
 BYTES = """
@@ -126,3 +129,25 @@ summary AS (SELECT s4.qid,
   CASE WHEN everything THEN 'fallback' WHEN label_c THEN 'C' WHEN nb >= 2 THEN 'B_isect' ELSE 'B' END AS best_source,
   (SELECT count(*) FROM cand WHERE cand.qid = s4.qid) AS cand_count,
   round(100 * (SELECT count(*) FROM cand WHERE cand.qid = s4.qid) / n, 6) AS cand_pct, (nb + nc > 0)::INTEGER::DOUBLE AS l0_hit_rate FROM s4)"""
+
+
+def renamed(text: str, names: str, suffix: str) -> str:
+    """The fragment with these names of its tables suffixed."""
+    return re.sub(rf"\b({names})\b", rf"\1{suffix}", text)
+
+
+#: Slices of the whole corpus, ``q``, and the first and last document that each touches.
+RAW = """
+so AS (SELECT id, sum(len(b)) OVER (ORDER BY id) - len(b) AS off FROM d),
+x2 AS (SELECT id, byte, (off + ba)::BIGINT AS p FROM x JOIN so USING (id)),
+rt AS (SELECT L * 100 + i AS qid, L, (i * 62710561) % (total - L + 1) AS o FROM (SELECT sum(len(b))::BIGINT AS total FROM d), (VALUES (48), (192), (768)) v(L), range(100) r(i) WHERE L <= total),
+qx AS (SELECT qid, L, byte, p, x2.id FROM (SELECT qid, L, unnest(range(o, o + L)) AS p FROM rt) JOIN x2 USING (p)),
+q AS (SELECT qid AS id, list(byte ORDER BY p) AS b FROM qx GROUP BY qid),
+lim AS (SELECT qid, L::INTEGER AS length, min(id) AS low, max(id) AS high FROM qx GROUP BY ALL)"""
+
+#: Metrics over r(anchors_found, cand_count, hit, n).
+METRICS = """count(*) AS trials, round(count(*) FILTER (WHERE anchors_found > 0) / count(*), 4) AS hit_rate, round(100 * count(*) FILTER (WHERE good) / count(*), 1) AS effective_pct,
+  count(*) FILTER (WHERE anchors_found > 0 AND NOT good) AS fallback, count(*) FILTER (WHERE anchors_found = 0) AS miss,
+  round(1 - count(*) FILTER (WHERE good AND NOT hit) / count(*), 4) AS recall, count(*) FILTER (WHERE good AND NOT hit) AS recall_fail,
+  round(avg(cand_count) FILTER (WHERE good), 1) AS avg_cand, floor(quantile_cont(cand_count, 0.5) FILTER (WHERE good))::BIGINT AS med_cand
+FROM (SELECT *, anchors_found > 0 AND cand_count * 2 < n AS good FROM r)"""

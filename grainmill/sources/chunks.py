@@ -44,6 +44,19 @@ def offsets(chunks: DataFrame, slices: int = 200) -> DataFrame:
     return sizes.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, "part").select("chunk_id", "size", (F.col("inner") + F.col("start")).alias("offset"))
 
 
+def numbers(rows: DataFrame, slices: int = 200) -> DataFrame:
+    """The rows with ``pos``, their number from 0 in chunk order, by ranges of chunk ids as in offsets()."""
+    span = rows.agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).first()
+    if span["lo"] is None:
+        return rows.withColumn("pos", F.lit(0).cast("long"))
+    step = max(1, math.ceil((span["hi"] - span["lo"] + 1) / slices))
+    rows = rows.withColumn("part", F.floor((F.col("chunk_id") - span["lo"]) / step))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("chunk_id")) - 1
+    return rows.withColumn("inner", inner).join(starts, "part").withColumn("pos", F.col("inner") + F.col("start")).drop("part", "inner", "start")
+
+
 def chunks_fixed(chunks: DataFrame, size: int) -> DataFrame:
     """The same bytes, end to end in chunk order, cut anew into chunks of ``size`` (the last may be short).
 

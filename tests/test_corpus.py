@@ -137,7 +137,7 @@ def test_adaptive(spark):
     data = corpus()
     post = index.postings(frame(spark, data))
     got = {r["qid"]: r["q_used"] for r in search.l0_adaptive(frame(spark, [data[3][5:60], b"zzzzzzzzzzz", b"abc"], "qid long, q binary"), post, len(data)).collect()}
-    assert got == {0: 8, 1: None, 2: None}
+    assert got == {0: 8, 1: 0, 2: 0}
 
 
 def test_filters(spark):
@@ -168,11 +168,53 @@ def test_filters(spark):
 
 def test_properties(spark):
     c = frame(spark, corpus())
-    assert quality.bloom_property(c, 60, w=40).first()["failures"] == 0
+    told = {r["length"]: r for r in quality.bloom_property(c).collect()}
+    sizes = [len(d) for d in corpus()]
+    assert {n: (r["trials"], r["failures"]) for n, r in told.items()} == {n: (sum(x >= n for x in sizes), 0) for n in (47, 48, 96, 192)}
     told = quality.retrieval_quality(quality.trials(c, 60), index.postings(c), c.count()).first()
     assert told["recall"] == 1.0 and told["trials"] > 20
 
 
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_raw_offsets(spark, adaptive):
+    """Slices of the whole corpus, which may span chunks: their bytes, the chunks they touch, and that search finds them."""
+    data = corpus()
+    raw, ends, at = b"".join(data), [], 0
+    for d in data:
+        ends.append((at, at + len(d)))
+        at += len(d)
+    asked = quality.raw_trials(frame(spark, data), (20, 300, 10**9), 12)
+    got = {r["qid"]: r for r in asked.collect()}
+    assert len(got) == 24
+    for length in (20, 300):
+        for i in range(12):
+            a = i * 7919 * 7919 % (len(raw) - length + 1)
+            touched = [j for j, (x, y) in enumerate(ends) if x < a + length and a < y]
+            r = got[length * 12 + i]
+            assert (bytes(r["q"]), r["low"], r["high"], r["length"]) == (raw[a : a + length], touched[0], touched[-1], length)
+    rows = quality.retrieval_quality(asked, index.postings(frame(spark, data)), len(data), by=("length",), adaptive=adaptive).collect()
+    assert {r["length"] for r in rows} == {20, 300} and all(r["trials"] == 12 and r["recall"] == 1.0 for r in rows)
+
+
+def test_scored_order_and_skip(spark):
+    data = corpus(n=30)
+    c, q = frame(spark, data), frame(spark, [data[4][2:80], b"short"], "qid long, q binary")
+    rows = filters.bloom_scan_scored(q, c, w=16).collect()
+    for i in (0, 1):
+        mine = sorted((r for r in rows if r["qid"] == i), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(len(mine)))
+        assert mine == sorted(mine, key=lambda r: (-(r["score"] or 0), r["chunk_id"]))
+    assert sum(r["qid"] == 1 for r in rows) == 30
+    weights = {r["crc"]: (r["df"], r["weight"]) for r in filters.bloom_key_df(q, c, w=16).collect()}
+    assert set(weights) == set(naive.minimizers(data[4][2:80], 8, 16, "empty")) and all(abs(w * df - 1) < 1e-9 for df, w in weights.values())
+    pairs = spark.createDataFrame([(i, j) for i in range(2) for j in range(30)], "qid long, chunk_id long")
+    assert filters.bloom_filter_candidates(pairs, q, c, skip=True).count() == 60
+    kept = {tuple(r) for r in filters.bloom_filter_candidates(pairs, q, c, w=16).collect()}
+    assert kept == {(0, r["chunk_id"]) for r in rows if r["qid"] == 0} | {(1, j) for j in range(30)}
+    order = filters.sketch_reorder(pairs, q, filters.sketches(c)).where("qid = 0").orderBy("place").collect()
+    assert [(not r["hit"], r["chunk_id"]) for r in order] == sorted((not r["hit"], r["chunk_id"]) for r in order) and order[0]["hit"]
+
+
 def test_verify_across(spark):
     c = frame(spark, [b"hello wor", b"ld and more", b"\x12\x34\x56"])
     q = frame(spark, [b"world", b"and", b"\x34", b"\x23\x45"], "qid long, q binary")
