@@ -2,89 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.cuts import cut, discard, discard_at_end, shared_path
 from grainmill.session import ready
 
+__all__ = ["cut", "discard", "discard_at_end", "shared_path"]
+
 #: A word is a run of anything but space and the five control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none and runs on one machine (tests) a temporary folder is made and set.
-    """
-    ready(spark)
-    context = spark.sparkContext
-    where = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
-    if not where:
-        if not context.master.startswith("local["):
-            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
-        where = getattr(spark, "_grainmill_shared", None) or "file://" + tempfile.mkdtemp(prefix="grainmill-")
-        spark._grainmill_shared = where
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where)
-    return where
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Cuts the lineage: the rows are written as Parquet into the shared folder and read again.
-
-    Survives the loss of executors. Like checkpoints, the files stay while the session lives, as a
-    result may still read them; they go at the end of the driver's Python process.
-    """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_clear, spark)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut = path
-    return out
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Deletes what cut() wrote for tables that nothing reads any more."""
-    for df in cuts:
-        if (path := df.__dict__.pop("_cut", None)) in _WRITTEN:
-            _WRITTEN.remove(path)
-            _delete(df.sparkSession, path)
-
-
-#: Paths that go at the end: of cuts, and of files that operators write into the shared folder.
-_WRITTEN: list[str] = []
+MARK_BITS = 23
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def marks(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of fixed size (1 MB) of the keys' hashes, as rows (word, bits). It only spares work."""
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
+    words = keys.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word"))
+    return cut(words.agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")), "marks")
 
 
-def _clear(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):
-        for path in _WRITTEN:
-            _delete(spark, path)
+def marked(rows: DataFrame, bitmap: DataFrame, key: Column) -> DataFrame:
+    """The rows whose key may be among the marked ones; most others go before anything is shuffled."""
+    names = rows.columns
+    rows = rows.withColumn("spot_", F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS)))
+    rows = rows.join(F.broadcast(bitmap), F.shiftright("spot_", 6) == F.col("word"))
+    return rows.where(F.expr("shiftright(bits, cast(spot_ & 63 as int)) & 1 = 1")).select(*names)
 
 
 def text_of(column: str | Column = "text") -> Column:
