@@ -9,26 +9,29 @@ dealt by shingle into blocks; each block multiplies its columns with their trans
 fitting sizes only, overlap counts are added up over blocks, and pairs below the bound are
 discarded. The rest is settled on whole sets.
 
-A group of m near copies would give m * m pairs. So products with a few hubs come first: each
-multiplies every column with HUBS of its classes only, which is linear in the entries, and what it
-settles is merged into components. The last product is with all classes, leaves out pairs that are
-in one component already, and is exact for all others. No candidate is capped or dropped.
-
-Texts are read again for each step (they are not shuffled); hashes are made by numpy over the bytes
-of Arrow batches.
+A group of m near copies would give m * m pairs, above or below the threshold. Two things prevent that.
+Products with a few hubs come first: each multiplies every column with HUBS of its classes only (those of
+which the largest share of entries is shared, which link with most of their group); that is linear in the
+entries, and what it settles is merged into components. The last product leaves out pairs that are in
+one component already; the classes of wide columns go group by group into blocks that count overlaps of
+their whole sets in memory and give links only. No candidate is capped or dropped.
+
+Texts are read again for each step (they are not shuffled, and only those go to Python that a bitmap of
+fixed size says may be wanted); hashes are made by numpy over the bytes of Arrow batches.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import components, cut, text_of, width
+from grainmill.llm.common import components, cut, discard, marked, marks, text_of, width
 from grainmill.llm.decontam import _runs
 
 N = 5
@@ -37,9 +40,10 @@ SHARED = 4  # l
 SKETCH_BITS, CHUNK_BITS = 20, 16
 CROWDED, LEAST_CROWDED = 4, 64  # times the mean load of a counter; and this count at least
 #: Hubs a column in each of the products before the full one.
-HUBS = (2, 8)
+HUBS = (2, 3)
+#: Columns of more classes than this are multiplied on whole sets, in blocks of about BLOCK shingles by four times as many.
+WIDE, BLOCK = 16, 1 << 20
 REMEMBERED = 500_000
-BITMAP_BITS = 23
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -109,6 +113,20 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def class_id(d: tuple[int, int], ids: "Ids") -> int:
+    """A class's number: the first half of the digest, or both halves where first halves clash."""
+    first = d[0] & ids.mask
+    return d[0] ^ d[1] if first in ids.clash else first
+
+
+@dataclass(frozen=True)
+class Ids:
+    """Bits of first halves (all, but in tests), and those that differing sets share."""
+
+    mask: int = -1
+    clash: frozenset = frozenset()
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     a, b = _mix(s ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64), _mix(s ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)
@@ -166,16 +184,14 @@ def crowded(rows: DataFrame, shingles: int) -> np.ndarray:
     return out > max(LEAST_CROWDED, CROWDED * shingles / (1 << SKETCH_BITS))
 
 
-def _each_set(batches, column: int, wanted: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
+def _each_set(batches, ids: Ids, column: int = 0) -> Iterator[tuple[np.ndarray, int]]:
     """(set, class id) of the texts, equal sets once while they are remembered."""
     met: set[int] = set()
     for batch in batches:
-        if wanted is not None:
-            batch = batch.filter(batch.column(wanted))
         for _, data, starts in _runs(batch.column(column)):
             for s in shingle_sets(data, starts):
                 if len(s):
-                    cid = digest(s)[0]
+                    cid = class_id(digest(s), ids)
                     if cid not in met:
                         if len(met) >= REMEMBERED:
                             met.clear()
@@ -183,7 +199,7 @@ def _each_set(batches, column: int, wanted: int | None = None) -> Iterator[tuple
                         yield s, cid
 
 
-def entries(docs: DataFrame, late: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, late: np.ndarray, ids: Ids) -> DataFrame:
     """(h, cid, n): the first shingles of each set in the fixed order."""
     bits = np.packbits(late)
 
@@ -195,7 +211,7 @@ def entries(docs: DataFrame, late: np.ndarray) -> DataFrame:
             k = [len(x) for x in hs]
             return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(hs))), pa.array(np.repeat(np.array(cids, np.int64), k)), pa.array(np.repeat(np.array(ns, np.int64), k))], ["h", "cid", "n"])
 
-        for s, cid in _each_set(batches, 0):
+        for s, cid in _each_set(batches, ids):
             p = int(prefix_length(len(s)))
             is_late = late[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             kept = s[~is_late][:p]
@@ -263,25 +279,55 @@ def _pairs(a, na, b, nb) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na)), pa.array(np.where(swap, na, nb))], ["a", "b", "na", "nb"])
 
 
+def _with(i: int, others: np.ndarray, cid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(others):
+        yield _pairs(cid[others], n[others], np.full(len(others), cid[i]), np.full(len(others), n[i]))
+
+
 PAIR = "a long, b long, na long, nb long"
 
 
-def _places(parts: DataFrame | None, shared: DataFrame) -> DataFrame:
+def counted(shared: DataFrame) -> DataFrame:
+    """The entries with ``have``, how many entries their class has in columns of two classes and more."""
+    have = shared.groupBy(F.col("cid").alias("cid_")).agg(F.count("*").alias("have"))
+    return shared.join(have, F.col("cid") == F.col("cid_")).select("h", "n", "cid", "have")
+
+
+def _places(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The entries with the component that each class is in so far."""
     if parts is None:
         return shared.withColumn("part", F.col("cid"))
-    return shared.join(parts, shared["cid"] == parts["node"], "left").select("h", "n", "cid", F.coalesce("component", "cid").alias("part"))
+    return shared.join(parts, shared["cid"] == parts["node"], "left").select("h", "n", "cid", "have", F.coalesce("component", "cid").alias("part"))
 
 
-def star_product(shared: DataFrame, parts: DataFrame | None, hubs: int, seed: int) -> DataFrame:
-    """Pairs of each column's classes with its ``hubs`` classes of the smallest hashes, unless they
-    are in one component already. Linear in the entries."""
+def _least(n, m):
+    """How many entries of their first parts similar sets of these sizes share at least.
+
+    Similar sets share at least t / (1 + t) of their joint size. What two sets share beyond the first
+    parts lies past the end of that one's part which ends first, so it is at most the rest of that
+    set; the count must make up for what the larger rest leaves open.
+    """
+    t, of = SIMILAR
+    most = np.maximum(n, m)
+    rest = np.maximum(-(-most * t // of) - SHARED, 0)
+    return np.maximum(np.minimum(SHARED, -(-most * t // of)), -(-(n + m) * t // (t + of)) - rest)
+
+
+def _may_link(n, have, m, have_m) -> np.ndarray:
+    """Whether the sizes fit and both have as many shared entries as a link needs."""
+    return _fits(np.minimum(n, m), np.maximum(n, m)) & (np.minimum(have, have_m) >= _least(n, m))
+
+
+def star_product(placed: DataFrame, hubs: int, seed: int) -> DataFrame:
+    """Pairs of each column's classes with its ``hubs`` classes of the largest share of shared entries
+    (of the smallest hashes, where that is equal), unless they are in one component already. Linear in
+    the entries."""
     salt = np.uint64(0xA0761D6478BD642F * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
 
     def run(batches):
-        for h, n, cid, part in _columns(batches, 4):
-            order = np.lexsort((_mix(cid.view(np.uint64) ^ salt), h))
-            h, n, cid, part = h[order], n[order], cid[order], part[order]
+        for h, n, cid, have, part in _columns(batches, 5):
+            order = np.lexsort((_mix(cid.view(np.uint64) ^ salt), -have / prefix_length(n), h))
+            h, n, cid, have, part = h[order], n[order], cid[order], have[order], part[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(first, len(h)))
             at, start = np.arange(len(h)), np.repeat(first, size)
@@ -290,87 +336,167 @@ def star_product(shared: DataFrame, parts: DataFrame | None, hubs: int, seed: in
                 ok = at > hub  # earlier ones have met this hub as hubs
                 ok[ok] = (h[hub[ok]] == h[ok]) & (part[hub[ok]] != part[ok])
                 hub, here = hub[ok], at[ok]
-                fits = _fits(np.minimum(n[here], n[hub]), np.maximum(n[here], n[hub]))
+                fits = _may_link(n[here], have[here], n[hub], have[hub])
                 if fits.any():
                     hub, here = hub[fits], here[fits]
                     yield _pairs(cid[here], n[here], cid[hub], n[hub])
 
-    return _by_column(_places(parts, shared), "part").mapInArrow(run, PAIR)
+    return _by_column(placed, "have", "part").mapInArrow(run, PAIR)
 
 
-def full_product(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of each column's classes that are not in one component yet."""
+def narrow_product(placed: DataFrame) -> DataFrame:
+    """Pairs of the classes of columns of up to WIDE that may link and are not in one component yet."""
 
     def run(batches):
-        for h, n, cid, part in _columns(batches, 4):
-            at, d = np.arange(len(h)), 1
-            while True:
+        for h, n, cid, have, part in _columns(batches, 5):
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(first, len(h)))
+            at, d = np.flatnonzero(np.repeat(size <= WIDE, size)), 1
+            while len(at):
                 at = at[at + d < len(h)]
                 # within a column sizes ascend, so once a partner is too large all later ones are
                 at = at[(h[at + d] == h[at]) & _fits(n[at], n[at + d])]
-                if not len(at):
-                    break
                 apart = at[part[at] != part[at + d]]
+                apart = apart[_may_link(n[apart], have[apart], n[apart + d], have[apart + d])]
                 if len(apart):
                     yield _pairs(cid[apart], n[apart], cid[apart + d], n[apart + d])
                 d += 1
 
-    return _by_column(_places(parts, shared), "part").mapInArrow(run, PAIR)
+    return _by_column(placed, "have", "part").mapInArrow(run, PAIR)
 
 
-def candidates(pairs: DataFrame) -> DataFrame:
-    """Adds up the counts of pairs and discards those below the bounds of their sizes.
+def wide_entries(placed: DataFrame) -> DataFrame:
+    """(h, cid, n, part) of the wider columns that hold several components, without classes that may link with no other there."""
+    t, of = SIMILAR
 
-    Similar sets share at least t / (1 + t) of their joint size. What two sets share beyond the
-    counted part lies past the end of that one's part which ends first, so it is at most the rest of
-    that set; the count must make up for what the larger rest leaves open.
+    def run(batches):
+        for h, n, cid, have, part in _columns(batches, 5):
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(first, len(h)))
+            for a, k in zip(first[size > WIDE].tolist(), size[size > WIDE].tolist()):
+                m, p, have_, c = (x[a : a + k] for x in (n, part, have, cid))
+                # sizes ascend; which sizes _least() allows for a class with so many shared entries
+                low, high = -(-m * t // of), m * of // t
+                to = np.minimum(m, (have_ + -(-m * t // of) - SHARED + 1) * (t + of) // t - m + 1)
+                again = np.maximum(m, np.ceil((m * t / (t + of) + SHARED - 1 - have_) / (t / of - t / (t + of))).astype(np.int64) - 1)
+                count = np.maximum(np.searchsorted(m, to, "right") - np.searchsorted(m, low), 0) + np.maximum(np.searchsorted(m, high, "right") - np.searchsorted(m, again), 0)
+                keep = count > ((to >= m).astype(np.int64) + (again <= m))  # itself may be among them
+                if keep.any() and (p[keep] != p[keep][0]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h[a : a + k], c, m, p)], ["h", "cid", "n", "part"])
+
+    return cut(_by_column(placed, "have", "part").mapInArrow(run, "h long, cid long, n long, part long"), "wide")
+
+
+def wide_links(docs: DataFrame, placed: DataFrame, classes: DataFrame, ids: Ids) -> DataFrame:
+    """Links of the classes that share a wider column and are not in one component yet.
+
+    Columns form groups: a class is labelled by its first wide column, and a column belongs to the
+    group of its commonest label, so that the columns of near copies or of a passage are one group. The
+    whole sets of a group's classes are multiplied in blocks of rows by rows, which count overlaps in
+    memory and give the pairs that reach the threshold, and no others. The rows of a group's largest
+    component meet the others only.
     """
+    rows = wide_entries(placed)
+    labels = rows.groupBy("cid").agg(F.min("h").alias("label"))
+    of = rows.join(labels, "cid").groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("g"))
+    held = cut(rows.join(of, "h").select("g", "cid", "n", "part").distinct(), "groups")
+    main = held.groupBy("g", "part").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    asks = F.col("part") != F.col("main")
+    held = held.join(main, "g")
+    sizes = held.groupBy("g").agg(F.ceil(F.sum(F.when(asks, F.col("n")).otherwise(0)) / BLOCK).alias("qs"), F.ceil(F.sum("n") / (4 * BLOCK)).alias("ts")).where("qs > 0")
+    held = held.join(sizes, "g").withColumns({"q": F.pmod(F.xxhash64("cid"), F.col("qs")), "t": F.pmod(F.xxhash64("cid", F.lit(1)), F.col("ts"))})
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    asking = held.where(asks).select("g", "q", F.explode(upto("ts")).alias("t"), "cid", "part", F.lit(1).alias("asks"))
+    asked = held.select("g", F.explode(upto("qs")).alias("q"), "t", "cid", "part", F.lit(0).alias("asks"))
+    blocks = cut(asking.unionByName(asked).select(F.xxhash64("g", "q", "t").alias("block"), "g", "cid", "part", "asks"), "blocks")
+    texts = members(docs, blocks.select("cid").distinct(), classes, ids)
+    whole = blocks.join(texts, "cid").select("block", "g", "asks", "cid", "part", "members")
+    whole = whole.repartition(width(docs.sparkSession), "block").sortWithinPartitions("block", "g", "asks", "cid")
+
+    def product(batches):
+        last, held = None, ([], [])
+        for batch in batches:
+            block, g, asks, cid, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            for i in range(batch.num_rows):
+                if (key := (block[i], g[i])) != last:
+                    yield from _block(*held)
+                    last, held = key, ([], [])
+                held[0].append((asks[i], cid[i], part[i]))
+                held[1].append(np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64))
+        yield from _block(*held)
+
+    links = cut(whole.mapInArrow(product, "a long, b long").distinct(), "links")
+    discard(rows, blocks, texts)
+    return links
+
+
+def _block(rows: list, sets: list) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of asking rows with the others; those asked come first."""
+    t, of = SIMILAR
+    split = sum(not r[0] for r in rows)
+    if not 0 < split < len(rows):
+        return
+    _, cid, part = (np.array(x) for x in zip(*rows))
+    n = np.array([len(x) for x in sets])
+    h = np.concatenate(sets[:split])
+    order = np.argsort(h, kind="stable")
+    column, of_row = h[order], np.repeat(np.arange(split), n[:split])[order]
+    pairs = ([], [])
+    for i in range(split, len(rows)):
+        low, high = np.searchsorted(column, sets[i]), np.searchsorted(column, sets[i], "right")
+        found = high > low
+        # it shares no more than the shingles that those asked have (itself perhaps among them)
+        if int(np.count_nonzero(found)) * of < n[i] * t:
+            continue
+        low, k = low[found], (high - low)[found]
+        at = np.repeat(low - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
+        inter = np.bincount(of_row[at], minlength=split)
+        ok = inter * of >= (n[:split] + n[i] - inter) * t
+        met = np.flatnonzero(ok & (part[:split] != part[i]))
+        pairs[0].append(cid[:split][met])
+        pairs[1].append(np.full(len(met), cid[i]))
+    if pairs[0]:
+        a, b = np.concatenate(pairs[0]), np.concatenate(pairs[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def candidates(pairs: DataFrame) -> DataFrame:
+    """Adds up the counts of pairs and discards those below the bounds of their sizes (as in _least)."""
     t, of = SIMILAR
     largest = F.ceil(F.greatest("na", "nb") * t / of)
-    rest = lambda n: F.greatest(F.ceil(F.col(n) * t / of) - SHARED, F.lit(0))
-    open_ = F.ceil((F.col("na") + F.col("nb")) * t / (t + of)) - F.greatest(rest("na"), rest("nb"))
-    need = F.greatest(F.least(F.lit(SHARED), largest), open_)
-    return cut(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b"), "pairs")
+    need = F.greatest(F.least(F.lit(SHARED), largest), F.ceil((F.col("na") + F.col("nb")) * t / (t + of)) - F.greatest(largest - SHARED, F.lit(0)))
+    return cut(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") >= need).select("a", "b"), "pairs")
 
 
-def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs of classes, those with Jaccard similarity of at least SIMILAR on whole sets."""
-    met = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    spot = F.pmod(F.xxhash64("sid"), F.lit(1 << BITMAP_BITS))
-    # a bitmap of fixed size (1 MB) says which texts may be wanted; it only spares work
-    marks = met.join(classes.select("cid", "sid"), "cid").select(spot.alias("spot"))
-    rows = marks.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
-    found = {r["bucket"]: bytes(r["bits"]) for r in rows}
-
-    def wanted(batches):
-        bits = {k: np.frombuffer(v, np.uint8) for k, v in found.items()}
-        for batch in batches:
-            spots = batch.column(1).to_numpy()
-            keep = np.zeros(len(spots), bool)
-            for k, v in bits.items():  # bucket k, from 1, holds the spots from (k - 1) * 32768 + 1 on, the first bucket also 0
-                here = np.flatnonzero(batch.column(2).to_numpy() == k)
-                p = batch.column(3).to_numpy()[here]
-                keep[here] = v[p >> 3] >> (p & 7) & 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["text"])
-
-    def sets(batches):
-        for s, cid in _each_set(wanted(batches), 0):
-            yield pa.RecordBatch.from_arrays([pa.array([cid], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["cid", "members"])
+def wanted(docs: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of the classes in ``met``, and a few more: a bitmap tells most others before they go to Python."""
+    bitmap = marks(met.join(classes.select("cid", "sid"), "cid"), F.col("sid"))
+    return marked(_identified(docs).select("sid", "text"), bitmap, F.col("sid")).select("text")
+
+
+def members(docs: DataFrame, met: DataFrame, classes: DataFrame, ids: Ids) -> DataFrame:
+    """(cid, members) of the classes in ``met``, from their texts."""
 
     def packed(batches):
-        held, size = [], 0
-        for batch in sets(batches):
-            held.append(batch)
-            size += len(batch.column(1)[0].as_buffer())
-            if size > 4 << 20 or len(held) >= 2000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    source = _identified(docs).select("text", spot.alias("spot")).select("text", "spot", F.bitmap_bucket_number("spot").alias("bucket"), F.bitmap_bit_position("spot").alias("position"))
-    texts = source.mapInArrow(packed, "cid long, members binary").join(met, "cid", "left_semi")
-    texts = cut(texts.dropDuplicates(["cid"]), "members")
+        held, size = ([], []), 0
+        for s, cid in _each_set(batches, ids):
+            held[0].append(cid)
+            held[1].append(s.tobytes())
+            size += s.nbytes
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.binary())], ["cid", "members"])
+                held, size = ([], []), 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.binary())], ["cid", "members"])
+
+    texts = wanted(docs, met, classes).mapInArrow(packed, "cid long, members binary").join(met, "cid", "left_semi")
+    return cut(texts.dropDuplicates(["cid"]), "members")
+
+
+def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ids: Ids) -> DataFrame:
+    """Of the pairs of classes, those with Jaccard similarity of at least SIMILAR on whole sets."""
+    met = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = members(docs, met, classes, ids)
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").join(texts.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
 
     def compare(batches):
@@ -385,36 +511,53 @@ def settled(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(inter * SIMILAR[1] >= (len(x) + len(y) - inter) * SIMILAR[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
+    links = cut(both.select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"), "links")
+    discard(texts, pairs)
+    return links
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, id_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, sid, n, cid, th) and classes (cid, root, first_doc, first_sid of the root)."""
     told = measured(docs)
-    rows = told.where("kind = 0").select("doc_id", "sid", "n", F.col("d1").alias("cid"), "d2", "th")
-    classes = cut(rows.where("n > 0").groupBy("cid", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sid").alias("sid")), "classes")
+    mask = -1 if id_bits == 64 else (1 << id_bits) - 1
+    first = F.col("d1").bitwiseAND(F.lit(mask).cast("long"))
+    sets = cut(told.where("kind = 0 and n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sid").alias("sid")), "classes")
+    # by chance two of 10^10 sets may have one first half; there are few such halves at any size
+    clash = [r[0] for r in sets.groupBy(first.alias("c")).count().where("count > 1").select("c").collect()]
+    ids = Ids(mask, frozenset(clash))
+    cid = F.when(first.isin(clash), F.col("d1").bitwiseXOR(F.col("d2"))).otherwise(first) if clash else first
+    rows = told.where("kind = 0").select("doc_id", "sid", "n", cid.alias("cid"), "th")
+    classes = sets.select(cid.alias("cid"), "n", "doc_id", "sid")
     shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = shared_entries(entries(docs, crowded(told, shingles)))
+    entered = shared_entries(entries(docs, crowded(told, shingles), ids))
+    shared = cut(counted(entered), "counted")
+    discard(entered)
     links, parts = None, None
     for seed, hubs in enumerate(HUBS):
-        near = settled(docs, candidates(star_product(shared, parts, hubs, seed)), classes)
-        links = near if links is None else links.union(near)
+        near = settled(docs, candidates(star_product(_places(shared, parts), hubs, seed).withColumn("c", F.lit(1))), classes, ids)
+        links, last = near if links is None else links.union(near), parts
         parts = cut(components(links), "parts")
-    roots = components(links.union(settled(docs, candidates(full_product(shared, parts)), classes)))
+        discard(*(x for x in (last,) if x is not None))
+    placed = _places(shared, parts)
+    # pairs that share a wide column are settled there, so the counts of all others are whole
+    near = settled(docs, candidates(narrow_product(placed).withColumn("c", F.lit(1))), classes, ids)
+    roots = components(links.union(near).union(wide_links(docs, placed, classes, ids)))
     rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", "sid", F.coalesce("component", "cid").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.coalesce(F.min("doc_id"), F.min("sid")).alias("first_sid"))
-    return rows, cut(rooted.join(first, "root").select("cid", "root", "first_doc", "first_sid"), "roots")
+    out = cut(rooted.join(first, "root").select("cid", "root", "first_doc", "first_sid"), "roots")
+    discard(shared, parts)
+    return rows, out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
     A text without words has an empty set and links with nothing; so does a null text. Rows with
     equal sets are linked, repeated rows among them. A row without doc_id takes part; a component
     of such rows alone has a null component_id. An empty table gives no rows. Further columns are
-    left out.
+    left out. ``id_bits`` is for tests.
     """
-    rows, roots = _joined(docs)
+    rows, roots = _joined(docs, id_bits)
     out = rows.join(roots, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first_doc")).otherwise(F.col("doc_id")).alias("component_id"))
 

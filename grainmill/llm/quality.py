@@ -2,16 +2,20 @@
 
 Each document's statistics become a vector (mean word length, log symbols a word, shares of
 repeated lines, repeated words and shouted words). Per language and source the minimum covariance
-determinant is sought by concentration steps: from medians and MADs, take the ``SUPPORT`` of rows
-with the smallest Mahalanobis distances, estimate centre and covariance anew, and repeat. Groups of
-fewer than ``LEAST`` rows are pooled by language, then all together. A vector beyond ``CUT`` is an
-outlier. Steps read a narrow table; sums and quantiles are merged from partial ones, so a hot group
-costs no more than others, and nothing reaches the driver.
+determinant is sought from three starts (medians with deviations from them, mean with covariance,
+medians with the covariance of signs): a concentration step takes the ``SUPPORT`` of rows with the
+smallest Mahalanobis distances and estimates centre and covariance anew; steps go on until the
+determinant falls no more, and of the starts' estimates the one of the smallest determinant stays. The
+squared FLOORS are part of every covariance, so that determinants do not vanish where rows agree.
+Estimates are drawn to the mean of all groups' with the weight of ``SHRINK`` rows, which is what
+judges the smallest groups. A vector beyond ``CUT`` is an outlier. Steps read a narrow table; sums and
+quantiles are merged from partial ones, so a hot group costs no more than others; the driver gets one
+row of means and, after each step, whether any determinant still falls.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +25,17 @@ from grainmill.llm.common import BLANK, cut, text_of
 FEATURES = ("mean_length", "symbols", "dup_lines", "repeats", "shouts")
 #: Least standard deviations: clean rows agree exactly in some statistics.
 FLOORS = (0.35, 0.05, 0.12, 0.15, 0.05)
-SUPPORT, LEAST, STEPS = 0.75, 50, 3
+SUPPORT, SHRINK = 0.75, 20
+#: A log-determinant that falls by no more than this has converged.
+SETTLED = 1e-6
 #: Squared distance beyond which a row is rejected; 30 is the chi-square quantile 0.99998 of 5 degrees.
 CUT, CHI_MEDIAN = 30.0, 4.351
 WINDOW = 8
-ANY = "*"
 #: A table with a row per group is broadcast up to this many rows, and joined by shuffles beyond.
 MOST_BROADCAST = 50_000
+KEY = ("lang_", "source_")
+_D = range(len(FEATURES))
+_LOWER = [(i, j) for i in _D for j in range(i + 1)]
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -86,61 +94,91 @@ def _distance(mu: str = "mu", inv: str = "inv") -> Column:
     return total
 
 
-def _inverted(params: DataFrame, cov) -> DataFrame:
-    """Adds inv, the rows of the inverse Cholesky factor, from cov(i, j) for i >= j."""
-    d = range(len(FEATURES))
+def _factored(params: DataFrame) -> DataFrame:
+    """Adds to (.., mu, cov) inv, the rows of the inverse of the Cholesky factor of cov, and logdet.
+
+    cov lists the lower triangle by rows; the squared floors are added here.
+    """
+    names = params.columns
     c = lambda i, j: F.col(f"c{i}{j}")
     v = lambda i, j: F.col(f"v{i}{j}")
     total = lambda xs: sum(xs, F.lit(0.0))
-    for i, j in product(d, d):
-        if j < i:
-            params = params.withColumn(f"c{i}{j}", (cov(i, j) - total(c(i, k) * c(j, k) for k in range(j))) / c(j, j))
-        elif i == j:
-            rest = cov(i, i) - total(c(i, k) * c(i, k) for k in range(i))
-            params = params.withColumn(f"c{i}{i}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2))))
-    for i in d:
-        for j in range(i + 1):
-            params = params.withColumn(f"v{i}{j}", 1 / c(i, i) if i == j else -total(c(i, k) * v(k, j) for k in range(j, i)) / c(i, i))
-    return params.select("g_lang", "g_source", "mu", F.array(*(v(i, j) for i in d for j in range(i + 1))).alias("inv"))
-
-
-def groups(stats: DataFrame) -> DataFrame:
-    """(lang_, source_) to the group (g_lang, g_source) that judges it; nulls are values."""
-    told = stats.groupBy(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_")).agg(F.sum(F.expr(f"CASE WHEN {BASE_FAILED} THEN 0 ELSE 1 END")).alias("n"))
-    small = F.col("n") < LEAST
-    told = told.withColumns({"g_lang": F.col("lang_"), "g_source": F.when(small, ANY).otherwise(F.col("source_"))})
-    pooled = told.groupBy("g_lang", "g_source").agg(F.sum("n").alias("n_pool"))
-    told = told.join(pooled, ["g_lang", "g_source"])
-    return told.select("lang_", "source_", F.when(F.col("n_pool") < LEAST, ANY).otherwise(F.col("g_lang")).alias("g_lang"), F.when(F.col("n_pool") < LEAST, ANY).otherwise(F.col("g_source")).alias("g_source"))
-
-
-def fit(stats: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Centre, inverse factor and scale for each group, by concentration steps over rows that pass the limits."""
-    small = F.broadcast if mapped.count() <= MOST_BROADCAST else lambda table: table
-    key = ["g_lang", "g_source"]
-    rows = stats.where(f"NOT ({BASE_FAILED})").select(F.coalesce("lang", F.lit("")).alias("lang_"), F.coalesce("source", F.lit("")).alias("source_"), _vector().alias("x_"))
-    rows = rows.join(small(mapped), ["lang_", "source_"]).select(*key, "x_")
-    d = range(len(FEATURES))
-    median = rows.groupBy(*key).agg(F.array(*(F.percentile_approx(F.col("x_")[i], 0.5) for i in d)).alias("mu"))
-    spread = rows.join(small(median), key).groupBy(*key).agg(F.first("mu").alias("mu"), F.array(*(F.percentile_approx(F.abs(F.col("x_")[i] - F.col("mu")[i]), 0.5) for i in d)).alias("mad"))
+    cov = {ij: F.col("cov")[k] for k, ij in enumerate(_LOWER)}
+    for j in _D:
+        rest = cov[j, j] + FLOORS[j] ** 2 - total(c(j, k) * c(j, k) for k in range(j))
+        params = params.withColumn(f"c{j}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2))))
+        params = params.withColumns({f"c{i}{j}": (cov[i, j] - total(c(i, k) * c(j, k) for k in range(j))) / c(j, j) for i in _D if i > j})
+    for off in _D:
+        params = params.withColumns({f"v{i}{i - off}": 1 / c(i, i) if not off else -total(c(i, k) * v(k, i - off) for k in range(i - off, i)) / c(i, i) for i in _D if i >= off})
+    return params.select(*names, F.array(*(v(i, j) for i, j in _LOWER)).alias("inv"), total(2 * F.log(c(i, i)) for i in _D).alias("logdet"))
+
+
+def _estimated(rows: DataFrame, *by: str) -> DataFrame:
+    """Mean and covariance of x_ for each group."""
+    x = lambda i: F.col("x_")[i]
+    return rows.groupBy(*by).agg(F.array(*map(F.avg, map(x, _D))).alias("mu"), F.array(*(F.covar_pop(x(i), x(j)) for i, j in _LOWER)).alias("cov"))
+
+
+def _starts(rows: DataFrame, small) -> DataFrame:
+    """(group, start, mu, cov): three rows a group."""
+    x, m = lambda i: F.col("x_")[i], lambda i: F.col("mu")[i]
+    median = rows.groupBy(*KEY).agg(F.array(*(F.percentile_approx(x(i), 0.5) for i in _D)).alias("mu"))
+    off = rows.join(small(median), [*KEY])
+    mad = off.groupBy(*KEY).agg(F.first("mu").alias("mu"), F.array(*(F.percentile_approx(F.abs(x(i) - m(i)), 0.5) for i in _D)).alias("mad"))
+    mad = cut(mad, "mcd")
     wide = lambda i: F.greatest(F.col("mad")[i] * 1.4826, F.lit(FLOORS[i]))
-    params = cut(_inverted(spread, lambda i, j: wide(i) * wide(i) if i == j else F.lit(0.0)), "mcd")
-    for _ in range(STEPS):
-        near = rows.join(small(params), key).select(*key, "x_", _distance().alias("d2"))
-        limit = cut(near.groupBy(*key).agg(F.percentile_approx("d2", SUPPORT).alias("limit")), "mcd")
-        inner = near.join(small(limit), key).where("d2 <= limit")
-        sums = inner.groupBy(*key).agg(F.array(*(F.avg(F.col("x_")[i]) for i in d)).alias("mu"), *(F.covar_pop(F.col("x_")[i], F.col("x_")[j]).alias(f"s{i}{j}") for i in d for j in range(i + 1)))
-        params = cut(_inverted(sums, lambda i, j: F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))), "mcd")
-    scale = rows.join(small(params), key).groupBy(*key).agg(F.greatest(F.percentile_approx(_distance(), 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
-    return cut(params.join(scale.where(f"n >= {LEAST}").drop("n"), key), "mcd")
-
-
-def judge(stats: DataFrame, mapped: DataFrame, params: DataFrame) -> DataFrame:
-    """The rows with base_failed and kept; a group without an estimate rejects nothing."""
+    first = mad.select(*KEY, F.lit(0).alias("start"), "mu", F.array(*(wide(i) * wide(i) if i == j else F.lit(0.0) for i, j in _LOWER)).alias("cov"))
+    second = _estimated(rows, *KEY).select(*KEY, F.lit(1).alias("start"), "mu", "cov")
+    z = F.array(*((x(i) - m(i)) / wide(i) for i in _D))
+    norm = F.greatest(F.aggregate("z", F.lit(0.0), lambda s, y: s + y * y), F.lit(1e-12))
+    signs = rows.join(small(mad), [*KEY]).withColumn("z", z).withColumn("norm", norm)
+    third = signs.groupBy(*KEY).agg(F.first("mu").alias("mu"), F.array(*(len(_D) * F.avg(F.col("z")[i] * F.col("z")[j] * wide(i) * wide(j) / F.col("norm")) for i, j in _LOWER)).alias("cov"))
+    return first.union(second).union(third.select(*KEY, F.lit(2).alias("start"), "mu", "cov"))
+
+
+def concentrated(rows: DataFrame, params: DataFrame, small) -> DataFrame:
+    """One step for each (group, start)."""
+    by = [*KEY, "start"]
+    near = rows.join(small(params.select(*by, "mu", "inv")), [*KEY]).select(*by, "x_", _distance().alias("d2"))
+    limit = near.groupBy(*by).agg(F.percentile_approx("d2", SUPPORT).alias("limit"))
+    return _factored(_estimated(near.join(small(limit), by).where("d2 <= limit"), *by))
+
+
+def fit(stats: DataFrame) -> DataFrame:
+    """Centre, inverse factor and scale for each group, from the rows that pass the limits."""
+    rows = stats.where(f"NOT ({BASE_FAILED})").select(*_key(), _vector().alias("x_"))
+    counts = cut(rows.groupBy(*KEY).agg(F.count("*").alias("n")), "mcd")
+    small = F.broadcast if counts.count() <= MOST_BROADCAST else lambda table: table
+    active, found = cut(_factored(_starts(rows, small)), "mcd"), []
+    while not active.isEmpty():
+        last = active.select(*KEY, "start", F.col("logdet").alias("last"))
+        told = cut(concentrated(rows, active, small).join(last, [*KEY, "start"]), "mcd")
+        # a start's own determinant is not that of so many rows, so the first step always counts
+        moved = F.col("logdet") < F.col("last") - SETTLED if found else F.lit(True)
+        found.append(told.where(~moved))
+        active = told.where(moved)
+    best = reduce(DataFrame.union, found or [active.withColumn("last", F.col("logdet"))])
+    best = best.groupBy(*KEY).agg(F.min_by(F.struct("mu", "cov"), F.struct("logdet", "start")).alias("e")).join(counts, [*KEY])
+    best = cut(best.select(*KEY, "n", "e.mu", "e.cov"), "mcd")
+    mean = lambda c, k: F.sum(F.col(c)[k] * F.col("n")) / F.sum("n")
+    pooled = best.agg(F.array(*(mean("mu", k) for k in _D)), F.array(*(mean("cov", k) for k in range(len(_LOWER))))).first()
+    drawn = lambda c, to, k: (F.col(c)[k] * F.col("n") + to[k] * SHRINK) / (F.col("n") + SHRINK) if to[k] is not None else F.col(c)[k]
+    params = _factored(best.select(*KEY, F.array(*(drawn("mu", pooled[0], k) for k in _D)).alias("mu"), F.array(*(drawn("cov", pooled[1], k) for k in range(len(_LOWER)))).alias("cov")))
+    params = cut(params.select(*KEY, "mu", "inv"), "mcd")
+    scale = rows.join(small(params), [*KEY]).groupBy(*KEY).agg(F.greatest(F.percentile_approx(_distance(), 0.5) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    return cut(params.join(scale, [*KEY]), "mcd")
+
+
+def _key() -> list[Column]:
+    """A group's language and source; null is a value that no text has."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(k) for c, k in zip(("lang", "source"), KEY)]
+
+
+def judge(stats: DataFrame, params: DataFrame) -> DataFrame:
+    """The rows with base_failed and kept; a group of which no row passes the limits has no estimate, and keeps none."""
     names = stats.columns
-    by = mapped.join(params, ["g_lang", "g_source"], "left").drop("g_lang", "g_source")
-    rows = stats.withColumns({"lang_": F.coalesce("lang", F.lit("")), "source_": F.coalesce("source", F.lit("")), "x_": _vector(), "base_failed": F.expr(BASE_FAILED)})
-    rows = rows.join(by, ["lang_", "source_"], "left")
+    rows = stats.select("*", *_key(), _vector().alias("x_"), F.expr(BASE_FAILED).alias("base_failed"))
+    rows = rows.join(params, [*KEY], "left")
     verdict = F.coalesce(_distance() / F.col("scale") <= CUT, F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & verdict).select(*names, "base_failed", "kept")
 
@@ -153,17 +191,18 @@ def rate_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed and kept of every row.
 
     A null or empty text has no words and so fails the limits; a null lang or source is a value of
-    its own; repeated rows are judged alike; an empty table gives no rows. Further columns are left
-    out. Where a group and what it is pooled with stay below LEAST rows, the limits alone decide.
+    its own, apart from an empty one; repeated rows and ties in distance are judged alike; a group of
+    few rows is judged mostly by the mean of all groups' estimates; an empty table gives no rows.
+    Further columns are left out.
     """
     stats = cut(with_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    mapped = cut(groups(stats), "mcd")
-    return judge(stats, mapped, fit(stats, mapped)).select("doc_id", *COLUMNS, "base_failed", "kept")
+    return judge(stats, fit(stats)).select("doc_id", *COLUMNS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with their columns."""
-    stats = cut(with_statistics(docs), "quality")
-    narrow = stats.select("lang", "source", *COLUMNS, *EXTRA)
-    mapped = cut(groups(narrow), "mcd")
-    return judge(stats, mapped, fit(narrow, mapped)).where("kept").select(*docs.columns)
+    names = docs.columns
+    held = docs.select(*(F.col(c).alias(c if c in ("text", "lang", "source") else f"in_{c}") for c in names))
+    stats = cut(with_statistics(held), "quality")
+    good = judge(stats, fit(stats.select("lang", "source", *COLUMNS, *EXTRA))).where("kept")
+    return good.select(*held.columns).toDF(*names)

@@ -1,9 +1,13 @@
 """Secret scans with a recursive decoding worklist.
 
 Every whole text is scanned for the base kinds. Then a worklist unwraps what looks encoded:
-percent-escapes, Unicode and hex escapes, base64 (also URL-safe, also over several lines) and
-gzip/zlib/bzip2 streams inside it or in escaped bytes, each layer again, until no layer is new. A layer is known by a digest of its bytes along the
-chain that led to it, which ends cycles. Each layer keeps, for every character, where it came from
+percent-escapes, Unicode and hex escapes, base64 (also URL-safe, also over several lines, also of
+UTF-16) and gzip, zlib, bzip2 and raw deflate streams inside it, and the former three in escaped bytes;
+each layer again, until no layer is new. A layer with escapes gives one layer in which they are
+replaced, and only a layer without any has its base64 unwrapped, each run once: as a whole, or, where
+that gives nothing, in the parts between slashes, dashes, underscores and replaced escapes. So layers
+do not multiply with the depth. Layers are known for the whole text by digests of their bytes and of
+the places they came from, which ends cycles. Each layer keeps, for every character, where it came from
 in the original text, so a secret found at any depth is reported as a span of the original.
 """
 
@@ -16,6 +20,7 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +44,9 @@ MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 #: Base64 of several lines, and the lines of it.
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 PART = re.compile(r"[A-Za-z0-9+/_-]+")
+#: What may stand beside base64 and is of its alphabet, as in paths.
+SEAM = re.compile(r"[/_-]")
+LEAST_BASE64 = 16
 #: Percent- and backslash-escaped bytes from the head of a compressed stream on, plain ones between them.
 QUOTED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:BZh|%42%5[Aa]%68)(?:[1-9]|%3[1-9]))(?:%[0-9A-Fa-f]{2}|[!$&-.0-9:;=?@A-Z_a-z~/])*")
 SLASHED = re.compile(r"(?:\\x1[Ff]\\x8[Bb]|(?:x|\\x78)(?:\\x01|\^|\\x5[Ee]|\\x9[Cc]|\\x[Dd][Aa])|(?:BZh|\\x42\\x5[Aa]\\x68)(?:[1-9]|\\x3[1-9]))(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])*")
@@ -55,7 +63,7 @@ class Layer:
     text: str
     start: np.ndarray | None  # per character, the span of the original it came from; None: itself
     end: np.ndarray | None
-    chain: frozenset
+    joints: tuple = ()  # where replaced escapes begin and end
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
@@ -126,29 +134,33 @@ def _readable(text: str) -> bool:
     return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) > 0
 
 
-def _as_text(raw: bytes) -> str | None:
+def _as_text(raw: bytes) -> tuple[str, np.ndarray] | None:
+    """The text, and for each character its first byte; and one more for the end."""
+    wide = len(raw) >= 8 and len(raw) % 2 == 0 and max((raw[1::2].count(0), "utf-16-le"), (raw[::2].count(0), "utf-16-be"))
     try:
+        if wide and wide[0] * 2 >= len(raw) // 2:
+            text = raw.decode(wide[1])
+            return (text, _owner([2 if c < "\U00010000" else 4 for c in text])) if _readable(text.lstrip("\ufeff")) else None
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if _readable(text) else None
+    return (text, np.arange(len(text) + 1) if text.isascii() else _owner([len(c.encode()) for c in text])) if _readable(text) else None
 
 
-def _byte_owner(text: str) -> np.ndarray:
-    """For each character of a decoded text, its first byte; and one more for the end."""
-    widths = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-    return np.concatenate([[0], np.cumsum(widths)])
+def _owner(widths: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(widths, np.int64))])
 
 
-def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray, bool]]:
-    """(start, end, decoded, starts, ends, apart) of what can be unwrapped; spans are in the layer's text."""
-    text = layer.text
+Piece = tuple[int, int, str, np.ndarray, np.ndarray]
+
+
+def _escapes(text: str) -> Iterator[Piece]:
+    """(start, end, decoded, starts, ends) of escapes; spans are in the text."""
     if "%" in text:
         for m in PERCENT.finditer(text):
-            raw = bytes.fromhex(m[0].replace("%", ""))
-            if (got := _as_text(raw)) is not None:
-                at = m.start() + 3 * _byte_owner(got)
-                yield m.start(), m.end(), got, at[:-1], at[1:], False
+            if (got := _as_text(bytes.fromhex(m[0].replace("%", "")))) is not None:
+                at = m.start() + 3 * got[1]
+                yield m.start(), m.end(), got[0], at[:-1], at[1:]
     if "\\" in text or "&#" in text:
         for m in ESCAPE.finditer(text):
             out, units = [], []
@@ -170,9 +182,27 @@ def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarra
                 got = "".join(map(chr, chars))
                 if not any(0xD800 <= c < 0xE000 for c in chars):
                     at = np.array(spans)
-                    yield m.start(), m.end(), got, at[:, 0], at[:, 1], False
-    for m in BASE64.finditer(text):
-        yield from _in_base64(m[0].rstrip("="), np.arange(m.start(), m.end()), m.end())
+                    yield m.start(), m.end(), got, at[:, 0], at[:, 1]
+
+
+def _quoted(text: str) -> Iterator[Piece]:
+    """What compressed streams in escaped bytes hold."""
+    for pattern, sign in ((QUOTED, "%"), (SLASHED, "\\")):
+        for m in pattern.finditer(text) if sign in text else ():
+            raw, ends = bytearray(), []
+            for x in BYTE.finditer(m[0]):
+                raw.append(int(x[1] or x[2], 16) if x[1] or x[2] else NAMED[x[3]] if x[3] else ord(x[4]))
+                ends.append(m.start() + x.end())
+            used = []
+            for got in _layers(bytes(raw), used):
+                # how far the stream goes is known at its end; a layer names the whole run till then
+                end = ends[used[0] - 1] if used else m.end()
+                yield m.start(), end, got, *_all(got, m.start(), end)
+
+
+def _encoded(text: str, joints: tuple) -> Iterator[Piece]:
+    """What base64 holds; a run is unwrapped once."""
+    done = []
     if "\n" in text:
         for m in WRAPPED.finditer(text):
             lines = [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
@@ -182,16 +212,23 @@ def _pieces(layer: Layer) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarra
                     found = list(_in_base64("".join(text[x:y] for x, y in part), np.concatenate([np.arange(x, y) for x, y in part]), part[-1][1]))
                     yield from found
                     if found:
+                        done.append((part[0][0], part[-1][1]))
                         break
-    for pattern, sign in ((QUOTED, "%"), (SLASHED, "\\")):
-        for m in pattern.finditer(text) if sign in text else ():
-            raw, ends = bytearray(), []
-            for x in BYTE.finditer(m[0]):
-                raw.append(int(x[1] or x[2], 16) if x[1] or x[2] else NAMED[x[3]] if x[3] else ord(x[4]))
-                ends.append(m.start() + x.end())
-            used = []
-            for got in list(_layers(bytes(raw), used)):
-                yield m.start(), ends[used[0] - 1], got, *_all(got, m.start(), ends[used[0] - 1]), True
+    for m in BASE64.finditer(text):
+        while done and done[0][1] <= m.start():
+            done.pop(0)
+        if done and done[0][0] <= m.start():
+            continue
+        body = m[0].rstrip("=")
+        found = list(_in_base64(body, np.arange(m.start(), m.end()), m.end()))
+        yield from found
+        if not found and MIXED.search(body):
+            last = m.start() + len(body)
+            seams = {m.start() + x.end() for x in SEAM.finditer(body)} | {m.start() + x.start() for x in SEAM.finditer(body)}
+            cuts = sorted({m.start(), last} | seams | {j for j in joints[bisect_left(joints, m.start()) : bisect_right(joints, last)]})
+            for a, b in zip(cuts, cuts[1:]):
+                if LEAST_BASE64 <= b - a < len(body):
+                    yield from _in_base64(text[a:b], np.arange(a, b), b)
 
 
 def _all(got: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +236,7 @@ def _all(got: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     return np.broadcast_to(np.int64(a), len(got)), np.broadcast_to(np.int64(b), len(got))
 
 
-def _in_base64(body: str, at: np.ndarray, end: int) -> Iterator[tuple]:
+def _in_base64(body: str, at: np.ndarray, end: int) -> Iterator[Piece]:
     """What the base64 body holds whose characters are at these places of the text."""
     if not MIXED.search(body) or len(body) % 4 == 1:
         return
@@ -209,60 +246,93 @@ def _in_base64(body: str, at: np.ndarray, end: int) -> Iterator[tuple]:
         return
     a, used = int(at[0]), []
     for got in _layers(raw, used):
-        yield a, end, got, *_all(got, a, end), True
-    if not used[1] and (got := _as_text(raw)) is not None:
-        own = _byte_owner(got)
+        yield a, end, got, *_all(got, a, end)
+    if used[1]:
+        return
+    if (got := _as_text(raw)) is not None:
+        own = got[1]
         first, last = own[:-1] // 3 * 4 + own[:-1] % 3, np.minimum((own[1:] - 1) // 3 * 4 + (own[1:] - 1) % 3 + 1, len(body) - 1)
-        yield a, end, got, at[first], at[last] + 1, True
+        yield a, end, got[0], at[first], at[last] + 1
+    elif not used[0] and (got := _deflated(raw)) is not None:
+        yield a, end, got, *_all(got, a, end)
+
+
+def _deflated(raw: bytes) -> str | None:
+    """The text of a raw deflate stream that ends where the bytes end. It has no head to be known by, so
+    one beyond MOST_INFLATED is taken for chance."""
+    out = zlib.decompressobj(-15)
+    try:
+        got = out.decompress(raw, MOST_INFLATED)
+    except zlib.error:
+        return None
+    found = _as_text(got) if out.eof and not out.unused_data and len(got) >= 8 else None
+    return found and found[0]
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
-    """Percent- and character-escapes are replaced in place; what base64 holds is a layer of its own."""
-    places, apart = [], []
-    for piece in _pieces(layer):
-        (apart if piece[5] else places).append(piece[:5])
-    n = len(layer.text)
+    """Percent- and character-escapes are replaced in place; what streams and base64 hold is a layer of its own."""
+    text, n = layer.text, len(layer.text)
     start = np.arange(n) if layer.start is None else layer.start
     end = np.arange(1, n + 1) if layer.end is None else layer.end
 
     def mapped(first, last):
         if len(first) and first.strides == last.strides == (0,):
             return np.broadcast_to(start[first[0] : last[0]].min(), len(first)), np.broadcast_to(end[first[0] : last[0]].max(), len(first))
-        return np.array([start[a:b].min() for a, b in zip(first, last)], np.int64), np.array([end[a:b].max() for a, b in zip(first, last)], np.int64)
-
-    if places:
-        texts, starts, ends, at = [], [], [], 0
-        for a, b, got, first, last in sorted(places, key=lambda p: p[0]):
-            if a < at:
-                continue
-            s, e = mapped(first, last)
-            texts += [layer.text[at:a], got]
-            starts += [start[at:a], s]
-            ends += [end[at:a], e]
-            at = b
-        texts.append(layer.text[at:])
-        yield from _new(layer, "".join(texts), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
-    for _, _, got, first, last in apart:
-        yield from _new(layer, got, *mapped(first, last))
-
-
-def _new(layer: Layer, text: str, start: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
-    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    if digest not in layer.chain:
-        yield Layer(text, start, end, layer.chain | {digest})
+        if not len(first):
+            return first, last
+        # the smallest start and largest end of each character's places; reduceat takes pairs of bounds
+        bounds = np.stack([first, last], 1).ravel()
+        return np.minimum.reduceat(np.append(start, n_far), bounds)[::2], np.maximum.reduceat(np.append(end, -1), bounds)[::2]
+
+    n_far = np.iinfo(np.int64).max
+    taken = []
+    for a, b, got, first, last in _quoted(text):
+        taken.append((a, b))
+        yield Layer(got, *mapped(first, last))
+    places = [p for p in _escapes(text) if not any(a < p[1] and p[0] < b for a, b in taken)]
+    if not places:
+        for _, _, got, first, last in _encoded(text, layer.joints):
+            yield Layer(got, *mapped(first, last))
+        return
+    texts, starts, ends, at, length, joints = [], [], [], 0, 0, []
+    for a, b, got, first, last in sorted(places, key=lambda p: p[0]):
+        if a < at:
+            continue
+        s, e = mapped(first, last)
+        texts += [text[at:a], got]
+        starts += [start[at:a], s]
+        ends += [end[at:a], e]
+        joints += [length + a - at, length + a - at + len(got)]
+        length += a - at + len(got)
+        at = b
+    texts.append(text[at:])
+    yield Layer("".join(texts), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]), tuple(joints))
+
+
+def _known(layer: Layer) -> bytes:
+    """A digest of the layer's bytes and places."""
+    out = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)
+    for x in (layer.start, layer.end):
+        if x is not None:
+            out.update(x[:1].tobytes() if x.strides == (0,) else np.ascontiguousarray(x).tobytes())
+    return out.digest()
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, as (start, kind's number, end)."""
     number = {k: i for i, k in enumerate(KINDS)}
     base = sorted((a, number[k], b) for k, a, b in matches(text))
-    found, work = set(base), list(_unwrapped(Layer(text, None, None, frozenset())))
+    met, found, work = set(), set(base), [_unwrapped(Layer(text, None, None))]
     while work:
-        layer = work.pop()
-        for kind, a, b in matches(layer.text):
-            a, b = layer.span(a, b)
-            found.add((a, number[kind], b))
-        work += _unwrapped(layer)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif (key := _known(layer)) not in met:
+            met.add(key)
+            for kind, a, b in matches(layer.text):
+                a, b = layer.span(a, b)
+                found.add((a, number[kind], b))
+            work.append(_unwrapped(layer))
     return base, sorted(found)
 
 

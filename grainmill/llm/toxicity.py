@@ -10,7 +10,8 @@ of clean texts (Gumbel), so that exp(-normalised) is its expected number by chan
 segments of a text are added up and a logistic curve, fitted on the same labelled sample, gives
 the probability.
 
-Labels are learned from at most MOST_LABELLED ids, those with the smallest hashes.
+Labels are learned from at most MOST_LABELLED ids, those with the smallest hashes; so the tokens that
+are significant, all of which score, are bounded by that sample's too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from grainmill.llm.common import cut
 
 TOKEN = re.compile(r"[^\W_]+")
 MOST_LABELLED = 20_000
-MOST_TOKENS = 4096
 #: Lengths of the word beginnings that count beside whole words, which end in a blank here.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: PRIOR is the weight of the pooled counts in the Dirichlet prior; significance needs Z standard errors.
@@ -173,7 +173,7 @@ def fit(rows: DataFrame) -> Model:
     odds = lambda n, whole: F.log((n + alpha) / (F.lit(whole + weight) - n - alpha))
     delta = odds(F.col("t"), all_t) - odds(F.col("c"), all_c)
     error = F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha))
-    best = counts.where("t > 0").withColumns({"delta": delta - 2 * error, "z": delta / error}).where(F.col("z") >= Z).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+    best = counts.where("t > 0").withColumns({"delta": delta - 2 * error, "z": delta / error}).where(F.col("z") >= Z).orderBy(F.desc("z"), "token").collect()
     counts.unpersist()
     known = {r["token"]: float(r["delta"]) for r in best}
     values = np.array([*(r["delta"] for r in best), -DRIFT])

@@ -1,9 +1,13 @@
 """Mixing, sharding, quality rules and line deduplication against plain Python."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from grainmill.llm import line_dedup, mixing, quality, sharding
 from tests.llm import helpers as h
 
@@ -90,6 +94,71 @@ def test_quality(spark):
     assert quality.rate_quality(h.frame(spark, [])).count() == 0
 
 
+def plain_mcd(groups):
+    """group -> (mean, covariance) of smallest determinant, by concentration steps from three starts."""
+    floors = np.array(quality.FLOORS)
+    at = lambda v, p: np.sort(v, 0)[math.ceil(p * len(v)) - 1]
+    cov = lambda x: np.cov(x.T, bias=True).reshape(5, 5) if len(x) > 1 else np.zeros((5, 5))
+    out = {}
+    for g, x in groups.items():
+        med = at(x, 0.5)
+        wide = np.maximum(1.4826 * at(np.abs(x - med), 0.5), floors)
+        z = (x - med) / wide
+        signs = z / np.sqrt(np.maximum((z * z).sum(1), 1e-12))[:, None] * wide
+        best = None
+        for mu, c in ((med, np.diag(wide**2)), (x.mean(0), cov(x)), (med, 5 * signs.T @ signs / len(x))):
+            last = math.inf
+            while True:
+                inv = np.linalg.inv(c + np.diag(floors**2))
+                d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+                near = x[d <= at(d, quality.SUPPORT)]
+                mu, c = near.mean(0), cov(near)
+                det = np.linalg.slogdet(c + np.diag(floors**2))[1]
+                if det >= last - quality.SETTLED:
+                    break
+                last = det
+            if best is None or det < best[0]:
+                best = det, mu, c
+        out[g] = best[1:]
+    return out
+
+
+def test_outliers_by_minimum_covariance_determinant(spark):
+    """The verdict equals a numpy version's, also for groups of one to thirty rows; null and '' are two groups."""
+    r = random.Random(41)
+    rows = []
+    for lang, source, n in (("en", "a", 150), ("en", "b", 30), ("de", "a", 5), ("fr", None, 1), ("fr", "", 12), (None, "*", 3), ("", "*", 40)):
+        for i in range(n):
+            w = h.prose(r, r.randint(25, 60)).split()
+            if i % 9 == 4:
+                w = [x * r.randint(1, 4) + "#" * r.randint(0, 3) for x in w]
+            if i % 7 == 2:
+                w = [x.upper() * 2 for x in w]
+            rows.append((len(rows), " ".join(w) + "\n" + " ".join(w[: r.randint(0, 3)]), lang, source, 0))
+    stats = quality.with_statistics(h.frame(spark, rows)).select("doc_id", "lang", "source", quality._vector().alias("v"), F.expr(quality.BASE_FAILED).alias("f")).collect()
+    groups = defaultdict(list)
+    for x in stats:
+        if not x["f"]:
+            groups[x["lang"], x["source"]].append(x["v"])
+    groups = {g: np.array(v) for g, v in groups.items()}
+    assert len(groups) == 7
+    found = plain_mcd(groups)
+    n = sum(map(len, groups.values()))
+    mu0, c0 = (sum(found[g][i] * len(x) for g, x in groups.items()) / n for i in (0, 1))
+    want = {}
+    for g, x in groups.items():
+        k, s = len(x), quality.SHRINK
+        mu, c = (found[g][0] * k + mu0 * s) / (k + s), (found[g][1] * k + c0 * s) / (k + s)
+        inv = np.linalg.inv(c + np.diag(np.array(quality.FLOORS) ** 2))
+        d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+        scale = max(1.0, np.sort(d)[math.ceil(0.5 * k) - 1] / quality.CHI_MEDIAN)
+        ids = [y["doc_id"] for y in stats if (y["lang"], y["source"]) == g and not y["f"]]
+        want |= dict(zip(ids, (d / scale <= quality.CUT).tolist()))
+    got = {x["doc_id"]: x["kept"] for x in quality.rate_quality(h.frame(spark, rows)).collect()}
+    assert got == {x["doc_id"]: want.get(x["doc_id"], False) for x in stats}
+    assert 5 < sum(not k for k in want.values()) < 100
+
+
 def test_lines(spark):
     r = random.Random(2)
     long = [h.prose(r, 60) for _ in range(20)]
@@ -107,29 +176,67 @@ def test_lines(spark):
     assert line_dedup.report_lines(h.frame(spark, [])).count() == 0
 
 
+def similar_groups(texts):
+    """Groups of two and more of distinct texts linked by edit similarity, found by comparing all pairs."""
+    part = {x: x for x in texts}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            most = max(len(a), len(b)) // 5
+            if abs(len(a) - len(b)) <= most and root(a) != root(b) and edit_distance(a, b) <= most:
+                part[max(root(a), root(b))] = min(root(a), root(b))
+    want = defaultdict(list)
+    for x in texts:
+        want[root(x)].append(x)
+    return sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def test_fuzzy_lines(spark):
-    """Every pair that shares two blocks and is similar is linked, found by comparing all pairs."""
+    """Near copies of a few lines by changed words, linked in chains and apart: groups are those of all pairs."""
     r = random.Random(6)
-    base = [h.prose(r, 150) for _ in range(6)]
-    rows = []
-    for i in range(60):
-        w = base[i % 6].split()
-        for _ in range(r.randint(0, 2)):
-            w[r.randrange(len(w))] = "zz" + str(r.choice("abcdef"))
-        rows.append((i, " ".join(w), "en", "s", 0))
-    d = line_dedup.distinct_lines(h.frame(spark, rows)).collect()
-    links = [(a["key"], b["key"]) for a in d for b in d if a["key"] < b["key"] and bin((a["sim"] ^ b["sim"]) & (2**64 - 1)).count("1") <= line_dedup.HAMMING]
-    part = {x["key"]: x["key"] for x in d}
-
-    def root(k):
-        while part[k] != k:
-            k = part[k]
-        return k
-
-    for a, b in links:  # lines of one base are similar far beyond 0.8
-        part[max(root(a), root(b))] = min(root(a), root(b))
-    got = {x["key"]: x["group"] for x in line_dedup.line_groups(line_dedup.distinct_lines(h.frame(spark, rows))).collect()}
-    assert got == {k: root(k) for k in part if sum(root(o) == root(k) for o in part) > 1} and len(got) > 10
+    base = [h.prose(r, 40) for _ in range(4)]
+    texts = set()
+    for i in range(48):
+        w = base[i % 4].split()
+        for _ in range(r.choice([0, 1, 2, 7, 9])):
+            w[r.randrange(len(w))] = "zz" + "".join(r.choices("abcdef", k=r.randint(1, 9)))
+        texts.add(" ".join(w))
+    want = similar_groups(sorted(texts))
+    assert 3 <= len(want) and grouped(spark, sorted(texts)) == want
+
+
+def test_a_common_word_pair_gives_no_square(spark):
+    """Lines that share nothing but a word pair stay apart, and near copies among them are found."""
+    r = random.Random(16)
+    texts = [f"{h.prose(r, 9)} international organisation {h.prose(r, 9)}" for _ in range(300)]
+    texts += [" ".join([*x.split()[:-1], "changed"]) for x in texts[:20]]
+    told = line_dedup.told_lines(h.frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]))
+    per = line_dedup.sharing(line_dedup.distinct_lines(told))
+    none = spark.createDataFrame([], "node long, component long")
+    assert line_dedup._all_pairs(line_dedup._mixed(per, none)).count() < 20 * len(texts)
+    assert sum(map(len, grouped(spark, texts))) == 40
+
+
+def test_recall_of_lines(spark):
+    """At least 0.9 of the pairs of edit similarity 0.8 with changed words, for lines of 1 to 200 words."""
+    r, pairs = random.Random(17), defaultdict(list)
+    for n in (1, 2, 4, 8, 15, 30, 60, 120, 200):
+        for _ in range(30):
+            w = [x + y for x, y in zip(h.prose(r, n).split(), h.prose(r, n).split())]
+            v = list(w)
+            for p in r.sample(range(n), max(1, r.choice([n // 20, n // 10, n // 6]))):
+                v[p] = v[p][:-1] + "q" if n < 6 else "".join(r.choices("abcdef", k=len(v[p])))
+            a, b = " ".join(w), " ".join(v)
+            if a != b and edit_distance(a, b) <= max(len(a), len(b)) // 5:
+                pairs[n].append((a, b))
+    of = {x: i for i, g in enumerate(grouped(spark, sorted({x for ps in pairs.values() for p in ps for x in p}))) for x in g}
+    for n, found in pairs.items():
+        assert len(found) > 10 and sum(of.get(a, -1) == of.get(b, -2) for a, b in found) >= 0.9 * len(found), n
 
 
 def edit_distance(a, b):
@@ -144,10 +251,12 @@ def edit_distance(a, b):
 
 def grouped(spark, texts):
     """The groups of line_groups over one line a row, as sets of normalised lines."""
-    distinct = line_dedup.distinct_lines(h.frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)]))
+    docs = h.frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(texts)])
+    distinct = line_dedup.distinct_lines(line_dedup.told_lines(docs))
+    norm = line_dedup.texts(docs, distinct, distinct)
     out = defaultdict(set)
-    for x in line_dedup.line_groups(distinct).join(distinct, "key").select("group", "norm").collect():
-        out[x["group"]].add(x["norm"])
+    for x in line_dedup.line_groups(docs, distinct).join(norm, F.col("node") == F.col("id")).select("component", "norm").collect():
+        out[x["component"]].add(x["norm"])
     return sorted(map(sorted, out.values()))
 
 
@@ -165,23 +274,8 @@ def test_lines_by_edit_similarity(spark):
                     v[p] = v[p][:-1] + "q" if n < 5 else "zq" + r.choice("abcdef")
                 made.add(" ".join(v))
     made |= {"token", "tokens", "broken", "abcd", "abcde", "abxde"}
-    texts, part = sorted(made), {x: x for x in made}
-
-    def root(x):
-        while part[x] != x:
-            x = part[x]
-        return x
-
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            most = max(len(a), len(b)) // 5
-            if abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most:
-                part[max(root(a), root(b))] = min(root(a), root(b))
-    want = defaultdict(list)
-    for x in texts:
-        want[root(x)].append(x)
-    want = sorted(x for x in want.values() if len(x) > 1)
-    assert len(want) > 15 and grouped(spark, texts) == want
+    want = similar_groups(sorted(made))
+    assert len(want) > 15 and grouped(spark, sorted(made)) == want
 
 
 def test_very_long_lines(spark):
@@ -191,8 +285,8 @@ def test_very_long_lines(spark):
     assert len(" ".join(w)) > 9000 and grouped(spark, [" ".join(w), " ".join(v)]) == [sorted([" ".join(w), " ".join(v)])]
 
 
-def test_lines_of_one_simhash(spark):
-    """A word repeated 100, 85 and 70 times has one SimHash; only neighbours are similar, and all are one group."""
+def test_lines_of_one_word(spark):
+    """A word repeated 100, 85 and 70 times: only neighbours are similar, and all are one group."""
     words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
     texts = [" ".join([x] * n) for x in words for n in (100, 85, 70)]
     assert grouped(spark, texts) == [sorted(" ".join([x] * n) for n in (100, 85, 70)) for x in words]

@@ -6,12 +6,16 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import urllib.parse
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from grainmill.llm import bpe_count, decontam, ngram_join, secrets, toxicity, warc_zip
 from tests.llm import helpers as h
 
@@ -69,6 +73,97 @@ def test_ngram_join(spark):
     assert sorted(map(str, kept)) == sorted(map(str, {c for i, c in want.values() if i} | {k for k, (i, _) in want.items() if not i}))
 
 
+def plain_components(rows):
+    """doc_id to (size of its set, smallest doc_id of its component), by comparing all pairs."""
+    sets, part = [shingles(x[1]) for x in rows], list(range(len(rows)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                part[root(i)] = root(j)
+    first = {}
+    for i, x in enumerate(rows):
+        first[root(i)] = min(first.get(root(i), x[0]), x[0])
+    return {x[0]: (len(sets[i]), first[root(i)]) for i, x in enumerate(rows)}
+
+
+def test_ngram_group_around_the_threshold(spark):
+    """Near copies with 0 to 6 changed words of 140: some link, some do not; results equal all pairs."""
+    r = random.Random(31)
+    base, rows = h.prose(r, 140).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    rows += [(500 + i, " ".join(base[:60]) + " " + h.prose(r, r.randint(1, 90)), "en", "s", 0) for i in range(60)]
+    want = plain_components(rows)
+    assert 3 < len({c for _, c in want.values()}) < 170
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(h.frame(spark, rows)).collect()} == want
+
+
+def test_ngram_products_are_linear(spark):
+    """Two of 60 words changed: all pairs share much and few link. The products give few pairs of them."""
+    r = random.Random(32)
+    base = h.prose(r, 60).split()
+    for m in (100, 400):
+        rows = []
+        for i in range(m):
+            w = list(base)
+            w[r.randrange(25)], w[30 + r.randrange(25)] = f"y{m}x{i}", f"z{m}x{i}"
+            rows.append((i, " ".join(w), "en", "s", 0))
+        docs = h.frame(spark, rows).select("doc_id", "text")
+        entered = ngram_join.entries(docs, np.zeros(1 << ngram_join.SKETCH_BITS, bool), ngram_join.Ids())
+        shared = ngram_join.counted(ngram_join.shared_entries(entered)).cache()
+        placed = ngram_join._places(shared, None)
+        star = ngram_join.star_product(placed, 2, 0).count()
+        told = ngram_join.measured(docs)
+        classes = told.where("kind = 0").select(F.col("d1").alias("cid"), "sid")
+        narrow = ngram_join.narrow_product(placed).count()
+        assert star <= 2 * shared.count() and narrow <= ngram_join.WIDE * shared.count()
+        assert ngram_join.wide_entries(placed).count() <= shared.count()
+        sets = [shingles(x[1]) for x in rows]  # edits at both ends leave a few pairs similar
+        want = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+        assert ngram_join.wide_links(docs, placed, classes, ngram_join.Ids()).count() == want < m
+        shared.unpersist()
+
+
+def test_ngram_blocks(spark, monkeypatch):
+    """Many small blocks give what one block gives: the links of all pairs that share a wide column."""
+    r = random.Random(34)
+    base, rows = h.prose(r, 80).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    docs = h.frame(spark, rows).select("doc_id", "text")
+    told = ngram_join.measured(docs).where("kind = 0").select("doc_id", F.col("d1").alias("cid"), "sid").collect()
+    of = {x["doc_id"]: x["cid"] for x in told}
+    classes = spark.createDataFrame([(x["cid"], x["sid"]) for x in told], "cid long, sid long").dropDuplicates(["cid"])
+    sets = {of[x[0]]: shingles(x[1]) for x in rows}
+    want = sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    shared = ngram_join.counted(ngram_join.shared_entries(ngram_join.entries(docs, np.zeros(1 << ngram_join.SKETCH_BITS, bool), ngram_join.Ids())))
+    assert len(want) > 30
+    for block in (1 << 20, 400):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert sorted(map(tuple, ngram_join.wide_links(docs, ngram_join._places(shared, None), classes, ngram_join.Ids()).collect())) == want
+
+
+def test_clashing_class_ids(spark):
+    """First halves of digests that different sets share are told apart by the second halves."""
+    r = random.Random(33)
+    rows = [(i, h.prose(r, 30), "en", "s", 0) for i in range(60)] + [(100, "", "en", "s", 0)]
+    rows += [(200 + i, rows[i][1], "en", "s", 0) for i in range(20)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(h.frame(spark, rows), id_bits=4).collect()}
+    assert got == plain_components(rows)
+
+
 def test_keep_one_of_repeated_ids(spark):
     """Rows of one doc_id in different components: each component keeps its row."""
     r = random.Random(21)
@@ -109,7 +204,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x for x in decontam.matches(h.frame(spark, rows), bench).collect()}
     budget = dict(zip(index.ids, index.budget.tolist()))
-    fold = lambda t: decontam.fold((t or "").encode()).tobytes()
+    fold = lambda t: "".join(map(chr, decontam.fold(t or "")))
     for x in rows:
         for i, text in items:
             if not text:
@@ -175,6 +270,67 @@ def test_secrets_in_damaged_and_wrapped_layers(monkeypatch):
     assert found(b64(bz2.compress(b"word " * 990 + secret + b"word " * 990)))
 
 
+WRAPPERS = {
+    "base64": lambda raw: base64.b64encode(raw).decode(),
+    "url": lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("="),
+    "lines": lambda raw: base64.encodebytes(raw).decode().strip(),
+    "utf16": lambda raw: base64.b64encode(raw.decode().encode("utf-16-le")).decode(),
+    "gzip": lambda raw: base64.b64encode(gzip.compress(raw)).decode(),
+    "bzip2": lambda raw: base64.b64encode(bz2.compress(raw)).decode(),
+    "deflate": lambda raw: base64.b64encode(zlib.compress(raw, 9)[2:-4]).decode(),
+    "quoted zlib": lambda raw: "".join(f"%{c:02X}" for c in zlib.compress(raw)),
+    "percent": lambda raw: "".join(f"%{c:02x}" for c in raw),
+    "hex": lambda raw: "".join(f"\\x{c:02x}" for c in raw) if raw.isascii() else urllib.parse.quote(raw),
+    "unicode": lambda raw: "".join(f"\\u{ord(c):04x}" for c in raw.decode()),
+    "entities": lambda raw: "".join(f"&#{ord(c)};" for c in raw.decode()),
+}
+
+
+def test_secrets_in_nested_layers():
+    """A secret wrapped up to five times, with other text around every layer: one span, within the outermost wrapping."""
+    r = random.Random(61)
+    for k in range(400):
+        text, chain = f"{h.prose(r, 4)} api_key = 'Zk9{r.randrange(10**6)}fQ' {h.prose(r, 3)}", []
+        for _ in range(r.randint(1, 5)):
+            name = r.choice(list(WRAPPERS))
+            inner, before = WRAPPERS[name](text.encode()), h.prose(r, 3) + " é "
+            text = f"{before}{inner} {h.prose(r, 2)}"
+            chain.append(name)
+            if len(text) > 60_000:
+                break
+        a, b = len(before), len(before) + len(inner)
+        base, every = secrets.scan(text)
+        assert base == [] and every and all(a <= x and y <= b and kind == 0 for x, kind, y in every), (k, chain)
+
+
+def test_secrets_in_escapes_map_exactly():
+    """Escapes of every character, in any order: a character's place is known by the widths alone."""
+    r, secret = random.Random(62), "token=abcdef12"
+    widths = {"percent": 3, "hex": 4, "unicode": 6}
+    for _ in range(50):
+        chain, text = [r.choice(list(widths)) for _ in range(r.randint(1, 4))], "so " + secret
+        for name in chain:
+            text = WRAPPERS[name](text.encode())
+        each = 1
+        for name in chain:
+            each *= widths[name]
+        assert secrets.scan(text)[1] == [(3 * each, 0, (3 + len(secret)) * each)]
+
+
+def test_secrets_of_great_depth():
+    """Thirty layers with an escape beside each, and an archive that holds itself many times: layers do not multiply."""
+    text = "token=abcdef1234"
+    for _ in range(30):
+        text = "%41 " + base64.b64encode(text.encode()).decode()
+    began = time.process_time()
+    assert len(secrets.scan(text)[1]) == 1 and time.process_time() - began < 5
+    text = "token=abcdef1234"
+    for i in range(24):
+        text = base64.b64encode(text.encode()).decode() if i % 2 else "%41" + text
+    assert len(secrets.scan(text)[1]) == 1
+    assert secrets.scan("%" * 1000 + "%41" * 1000 + "A" * 100_000)[0] == []
+
+
 def segments(scores):
     """All maximal segments by their definition: recursively the best, then what is left and right of it."""
     best = max(((sum(scores[i : j + 1]), -i, -j) for i in range(len(scores)) for j in range(i, len(scores))), default=(0, 0, 0))
@@ -231,15 +387,33 @@ def test_archives(spark, tmp_path, zip64):
     assert got == sorted(want, key=str)
     where = f"file://{tmp_path}/w"
     packed = warc_zip.write_packages(df.coalesce(1), where, zip64)
-    path = packed.first()["path"]
-    with zipfile.ZipFile(path) as z:  # another reader agrees
-        assert z.testzip() is None and z.read(warc_zip.DATA)[:2] == b"\x1f\x8b"
-        assert gzip.GzipFile(fileobj=io.BytesIO(z.read(warc_zip.DATA))).read().count(b"WARC/1.1") == len(pages)
+    records = 0
+    for x in packed.collect():
+        with zipfile.ZipFile(x["path"]) as z:  # another reader agrees
+            assert z.testzip() is None and z.read(warc_zip.DATA)[:2] == b"\x1f\x8b"
+            found = gzip.GzipFile(fileobj=io.BytesIO(z.read(warc_zip.DATA))).read().count(b"WARC/1.1")
+            assert found == x["records"]
+            records += found
+    assert records == len(pages)
     payloads = {x["page_id"]: x["payload"] for x in warc_zip.read_packages(packed, where, True).collect()}
     assert bytes(payloads[4]) == b"x" * 100_000
     assert warc_zip.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_many_revisits(spark):
+    """With more revisits than are broadcast, bitmaps tell them from responses; small ones leave some to the join."""
+    r = random.Random(51)
+    pages = [(i, f"u{i}", f"<p>{r.randrange(150)}</p>" if i % 3 else h.prose(r, 5)) for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    first = {}
+    for i, _, t in pages:
+        first.setdefault(t, i)
+    want = {i: ("response", None) if first[t] == i else ("revisit", first[t]) for i, _, t in pages}
+    for bits in (1 << 29, 1 << 9):
+        got = warc_zip.warc_round_trip(df, most_broadcast=5, most_bits=bits).collect()
+        assert len(got) == 600 and {x["page_id"]: (x["record_type"], x["refers_to"]) for x in got} == want
+
+
 def test_deflated_members_are_refused():
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
