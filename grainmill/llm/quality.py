@@ -84,14 +84,8 @@ def _vector() -> Column:
 
 def _distance(mu: str = "mu", inv: str = "inv") -> Column:
     """Squared length of inv * (x - mu); inv is the inverse of the covariance's Cholesky factor."""
-    total, at = F.lit(0.0), 0
-    for i in range(len(FEATURES)):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z += F.col(inv)[at] * (F.col("x_")[j] - F.col(mu)[j])
-            at += 1
-        total += z * z
-    return total
+    rows = ([f"{inv}[{at}] * (x_[{j}] - {mu}[{j}])" for at, (k, j) in enumerate(_LOWER) if k == i] for i in _D)
+    return F.expr(" + ".join(f"pow({' + '.join(row)}, 2)" for row in rows))
 
 
 def _factored(params: DataFrame) -> DataFrame:
@@ -99,24 +93,25 @@ def _factored(params: DataFrame) -> DataFrame:
 
     cov lists the lower triangle by rows; the squared floors are added here.
     """
-    names = params.columns
-    c = lambda i, j: F.col(f"c{i}{j}")
-    v = lambda i, j: F.col(f"v{i}{j}")
-    total = lambda xs: sum(xs, F.lit(0.0))
-    cov = {ij: F.col("cov")[k] for k, ij in enumerate(_LOWER)}
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    found = []  # in one projection: steps name the columns before them
     for j in _D:
-        rest = cov[j, j] + FLOORS[j] ** 2 - total(c(j, k) * c(j, k) for k in range(j))
-        params = params.withColumn(f"c{j}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2))))
-        params = params.withColumns({f"c{i}{j}": (cov[i, j] - total(c(i, k) * c(j, k) for k in range(j))) / c(j, j) for i in _D if i > j})
+        floor = f"{FLOORS[j] ** 2!r}D"
+        rest = f"cov[{_LOWER.index((j, j))}] + {floor}" + less(f"c{j}{k} * c{j}{k}" for k in range(j))
+        found.append(f"sqrt(greatest({rest}, {floor})) AS c{j}{j}")
+        found += [f"(cov[{_LOWER.index((i, j))}]" + less(f"c{i}{k} * c{j}{k}" for k in range(j)) + f") / c{j}{j} AS c{i}{j}" for i in _D if i > j]
     for off in _D:
-        params = params.withColumns({f"v{i}{i - off}": 1 / c(i, i) if not off else -total(c(i, k) * v(k, i - off) for k in range(i - off, i)) / c(i, i) for i in _D if i >= off})
-    return params.select(*names, F.array(*(v(i, j) for i, j in _LOWER)).alias("inv"), total(2 * F.log(c(i, i)) for i in _D).alias("logdet"))
+        for i in _D[off:]:
+            value = "(" + less(f"c{i}{k} * v{k}{i - off}" for k in range(i - off, i)) + ")" if off else "1D"
+            found.append(f"{value} / c{i}{i} AS v{i}{i - off}")
+    inverse = f"array({', '.join(f'v{i}{j}' for i, j in _LOWER)}) AS inv"
+    return params.selectExpr("*", *found).selectExpr(*params.columns, inverse, " + ".join(f"2 * ln(c{i}{i})" for i in _D) + " AS logdet")
 
 
 def _estimated(rows: DataFrame, *by: str) -> DataFrame:
     """Mean and covariance of x_ for each group."""
-    x = lambda i: F.col("x_")[i]
-    return rows.groupBy(*by).agg(F.array(*map(F.avg, map(x, _D))).alias("mu"), F.array(*(F.covar_pop(x(i), x(j)) for i, j in _LOWER)).alias("cov"))
+    mu, cov = ", ".join(f"avg(x_[{i}])" for i in _D), ", ".join(f"covar_pop(x_[{i}], x_[{j}])" for i, j in _LOWER)
+    return rows.groupBy(*by).agg(F.expr(f"array({mu})").alias("mu"), F.expr(f"array({cov})").alias("cov"))
 
 
 def _starts(rows: DataFrame, small) -> DataFrame:
