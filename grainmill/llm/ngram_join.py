@@ -2,8 +2,8 @@
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Equal sets form a class, and
 only classes are compared. The incidence matrix is cut down to the part that size bounds leave: in
-a fixed order of all shingles (those of crowded counters of a fixed-size sketch last, else by
-hash), two sets of Jaccard similarity t share at least l shingles among the first
+a fixed order of all shingles (those that a sample of the texts shows to be common last, else by
+hash; see common()), two sets of Jaccard similarity t share at least l shingles among the first
 n - ceil(t n) + l of each (or as many as the larger set needs, if that is fewer). That part is
 dealt by shingle into blocks; each block multiplies its columns with their transpose, for pairs of
 fitting sizes only, overlap counts are added up over blocks, and pairs below the bound are
@@ -22,7 +22,6 @@ fixed size says may be wanted); hashes are made by numpy over the bytes of Arrow
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import components, cut, discard, marked, marks, text_of, width
+from grainmill.llm.common import components, discard, marked, marks, sweeping, text_of, width
+from grainmill.llm.common import swept as cut
 from grainmill.llm.decontam import _runs
 
 N = 5
 SIMILAR = (4, 5)  # 0.8
 SHARED = 4  # l
-SKETCH_BITS, CHUNK_BITS = 20, 16
-CROWDED, LEAST_CROWDED = 4, 64  # times the mean load of a counter; and this count at least
+#: Bits that tell common shingles; a shingle is common if COMMON texts of one in SAMPLE hold it (more, where over MOST are).
+SKETCH_BITS, SAMPLE, COMMON, MOST = 24, 4, 4, 1 << 22
 #: Hubs a column in each of the products before the full one.
 HUBS = (2, 3)
 #: Columns of more classes than this are multiplied on whole sets, in blocks of about BLOCK shingles by four times as many.
@@ -139,27 +139,18 @@ def prefix_length(n, similar=SIMILAR, shared: int = SHARED):
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per document (doc_id, sid, n, the set's digest d1, d2 and the text's hash th); kind 1: sketch counts."""
+    """A row per document: kind (0), doc_id, sid, n, the set's digest d1, d2 and the text's hash th."""
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        any_ = False
         for batch in batches:
             for first, data, starts in _runs(batch.column(2)):
                 sets = shingle_sets(data, starts)
-                any_ = True
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 d = [digest(s) for s in sets]
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0).slice(first, k), batch.column(1).slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([None] * k, pa.binary()), batch.column(3).slice(first, k)], names)
-        if any_:
-            for c in range(1 << SKETCH_BITS - CHUNK_BITS):
-                part = sketch[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
-                raw = zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([c], pa.int64()), *(pa.array([None], pa.int64()) for _ in range(2)), pa.array([raw], pa.binary()), pa.array([None], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0).slice(first, k), batch.column(1).slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), batch.column(3).slice(first, k)], names)
 
-    names = ["kind", "doc_id", "sid", "n", "d1", "d2", "counts", "th"]
-    return cut(_identified(docs).withColumn("th", F.xxhash64(text_of())).mapInArrow(run, "kind int, doc_id long, sid long, n long, d1 long, d2 long, counts binary, th long"), "sets")
+    names = ["kind", "doc_id", "sid", "n", "d1", "d2", "th"]
+    return cut(_identified(docs).withColumn("th", F.xxhash64(text_of())).mapInArrow(run, "kind int, doc_id long, sid long, n long, d1 long, d2 long, th long"), "sets")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -167,21 +158,41 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(text_of())).alias("sid"), "text")
 
 
-def crowded(rows: DataFrame, shingles: int) -> np.ndarray:
-    """A fixed-size bit per counter: whether it is crowded. The driver gets 4 MB, whatever the input."""
+def common(docs: DataFrame, ids: "Ids") -> np.ndarray:
+    """A fixed-size bit per spot of shingle hashes: whether a common shingle lies there.
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(raw), "<u2").astype(np.int64)
-        for c, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"c": pa.array([c], pa.int64()), "counts": pa.array([np.minimum(s, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+    The bits only order the shingles: any order gives the same links, but columns of common shingles
+    cost most. So counts are taken from one in SAMPLE of the texts, and where more than MOST shingles
+    are common, those of the higher counts are. The driver gets 4 MB, whatever the input.
+    """
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows.where("kind = 1").select(F.col("n").alias("c"), "counts").repartition(1 << SKETCH_BITS - CHUNK_BITS, "c").mapInArrow(add, "c long, counts binary").collect():
-        out[r["c"] << CHUNK_BITS : (r["c"] + 1) << CHUNK_BITS] += np.frombuffer(r["counts"], "<u4")
-    return out > max(LEAST_CROWDED, CROWDED * shingles / (1 << SKETCH_BITS))
+    def run(batches):
+        held, size = [], 0
+        for s, _ in _each_set(batches, ids):
+            held.append(s)
+            size += len(s)
+            if size > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(held)))], ["h"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(held)))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64(text_of()), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    counts = cut(sample.groupBy("h").agg(F.least(F.count("*"), F.lit(1 << 16)).alias("k")).where(F.col("k") >= COMMON), "common")
+    least, marked_ = (1 << 16) + 1, 0
+    for k, n in sorted(map(tuple, counts.groupBy("k").agg(F.count("*")).collect()), reverse=True):
+        marked_ += n
+        if marked_ > MOST:
+            break
+        least = k
+    spots = counts.where(F.col("k") >= least).select(F.shiftrightunsigned("h", 64 - SKETCH_BITS).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits"))
+    with sweeping(docs.sparkSession):
+        found = words.toArrow()
+    discard(counts)
+    out = np.zeros(1 << SKETCH_BITS - 6, "<u8")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def _each_set(batches, ids: Ids, column: int = 0) -> Iterator[tuple[np.ndarray, int]]:
@@ -528,8 +539,7 @@ def _joined(docs: DataFrame, id_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     cid = F.when(first.isin(clash), F.col("d1").bitwiseXOR(F.col("d2"))).otherwise(first) if clash else first
     rows = told.where("kind = 0").select("doc_id", "sid", "n", cid.alias("cid"), "th")
     classes = sets.select(cid.alias("cid"), "n", "doc_id", "sid")
-    shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entered = shared_entries(entries(docs, crowded(told, shingles), ids))
+    entered = shared_entries(entries(docs, common(docs, ids), ids))
     shared = cut(counted(entered), "counted")
     discard(entered)
     links, parts = None, None

@@ -16,7 +16,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from grainmill.llm import bpe_count, decontam, ngram_join, secrets, toxicity, warc_zip
+from grainmill.llm import bpe_count, common, decontam, ngram_join, secrets, toxicity, warc_zip
 from tests.llm import helpers as h
 
 
@@ -73,6 +73,36 @@ def test_ngram_join(spark):
     assert sorted(map(str, kept)) == sorted(map(str, {c for i, c in want.values() if i} | {k for k, (i, _) in want.items() if not i}))
 
 
+def test_ngram_common_shingles_come_last(spark, monkeypatch):
+    """Passages that 40 texts each hold make no wide columns where the texts' other words tell them apart."""
+    r = random.Random(35)
+    passages, rows, wide = [h.prose(r, 30) for _ in range(6)], [], []
+    for i in range(240):
+        rows.append((i, passages[i % 6] + " " + h.prose(r, 70), "en", "s", 0))
+    entries = ngram_join.wide_entries
+
+    def noted(placed):
+        out = entries(placed)
+        wide.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "wide_entries", noted)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(h.frame(spark, rows)).collect()}
+    assert got == {x[0]: x[0] for x in rows}
+    assert wide == [0]
+
+
+def test_swept_cuts_leave_no_shuffle_files(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before, rows = held(), spark.range(50_000).groupBy((F.col("id") % 7000).alias("k")).count()
+    assert common.swept(rows).count() == 7000
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get(common._SWEEP) == "false"
+
+
 def plain_components(rows):
     """doc_id to (size of its set, smallest doc_id of its component), by comparing all pairs."""
     sets, part = [shingles(x[1]) for x in rows], list(range(len(rows)))
