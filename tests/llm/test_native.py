@@ -290,3 +290,13 @@ def test_lines_of_one_word(spark):
     words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
     texts = [" ".join([x] * n) for x in words for n in (100, 85, 70)]
     assert grouped(spark, texts) == [sorted(" ".join([x] * n) for n in (100, 85, 70)) for x in words]
+
+
+def test_lines_of_one_crowded_bucket_meet(spark):
+    """Lines whose only common bucket holds more than CROWD lines are compared, as far as their lengths allow."""
+    n = line_dedup.CROWD + 8
+    per = spark.range(n).selectExpr("id", "if(id = 0, 90, 60) AS size", f"array(named_struct('df', {n}L, 'bucket', 7L, 'hub', 0L, 'exact', false)) AS shared")
+    none = spark.createDataFrame([], "node long, component long")
+    crowded = line_dedup._crowded(per, none)
+    assert crowded.count() == n
+    assert line_dedup._all_pairs(crowded).count() == (n - 1) * (n - 2) // 2
