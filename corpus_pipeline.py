@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from grainmill.llm import decontam, mixing, ngram_join, quality, sharding
-from grainmill.llm.common import cut, table
+from grainmill.llm.common import cut, discard, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        last, docs = docs, cut(stage(spark, docs, sf_dir), "stage")
+        discard(last)
     return docs

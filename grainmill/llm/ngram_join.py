@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import components, discard, marked, marks, sweeping, text_of, width
+from grainmill.llm.common import components, discard, marked, marks, sweeping, text_of, told_by, width
 from grainmill.llm.common import swept as cut
 from grainmill.llm.decontam import _runs
 
@@ -580,7 +580,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     rows, roots = _joined(docs)
-    stays = rows.where("n > 0").join(roots, "cid").where("sid = first_sid").groupBy("root", "sid").agg(F.min("th").alias("th"))
+    placed = cut(rows.where("n > 0").join(roots, "cid").select("sid", "th", "root", "first_sid"), "placed")
+    stays = placed.where("sid = first_sid").groupBy("root", "sid").agg(F.min("th").alias("th"))
+    # rows that are alone in their component stay where they are; the texts of the others are shuffled
+    many = placed.groupBy("root").agg(F.count("*").alias("k")).where("k > 1")
+    bitmap = marks(placed.join(many, "root", "left_semi"), F.col("sid"))
     base = docs.withColumns({"sid_": F.coalesce("doc_id", F.xxhash64(text_of())), "th_": F.xxhash64(text_of()), "wordless_": ~text_of().rlike(r"[^\x20\x09-\x0D]")})
-    held = base.join(stays, (F.col("sid_") == F.col("sid")) & (F.col("th_") == F.col("th")), "left_semi").where("not wordless_").dropDuplicates(["sid_", "th_"])
-    return held.unionByName(base.where("wordless_")).select(*names)
+    base = told_by(base, bitmap, F.col("sid_"), "many_")
+    held = base.where("many_ and not wordless_").join(stays, (F.col("sid_") == F.col("sid")) & (F.col("th_") == F.col("th")), "left_semi").dropDuplicates(["sid_", "th_"])
+    return held.unionByName(base.where("not many_ or wordless_")).select(*names)

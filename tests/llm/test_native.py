@@ -123,6 +123,16 @@ def plain_mcd(groups):
     return out
 
 
+def test_kept_texts_are_not_copied(spark, monkeypatch):
+    cuts, cut = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df, what="cut": cuts.append(df.columns) or cut(df, what))
+    docs = h.frame(spark, h.docs(spark, 30))
+    rated = {(x["doc_id"], x["kept"]) for x in quality.rate_quality(docs).collect()}
+    cuts.clear()
+    assert sorted(x["doc_id"] for x in quality.keep_good(docs).distinct().collect()) == sorted(i for i, kept in rated if kept)
+    assert cuts and not [c for c in cuts if "text" in c]
+
+
 def test_outliers_by_minimum_covariance_determinant(spark):
     """The verdict equals a numpy version's, also for groups of one to thirty rows; null and '' are two groups."""
     r = random.Random(41)

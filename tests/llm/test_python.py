@@ -204,6 +204,17 @@ def test_keep_one_of_repeated_ids(spark):
     assert len(first) == 1 and sorted(x for x in kept if x not in first) == sorted((1, x) for x in texts[1:])
 
 
+def test_keep_one_shuffles_no_rows_that_are_alone(spark, monkeypatch):
+    told, told_by = [], ngram_join.told_by
+    monkeypatch.setattr(ngram_join, "told_by", lambda *a: told.append(told_by(*a)) or told[-1])
+    r = random.Random(3)
+    rows = [(i, h.prose(r, 40), "en", "s0", 0) for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en", "s0", 0) for i in range(3)] + [(200, rows[5][1] + " more", "en", "s0", 0), (300, "", "en", "s0", 0)]
+    docs = h.frame(spark, rows).withColumn("word", F.lit("clash"))
+    assert sorted(x["doc_id"] for x in ngram_join.keep_one(docs).collect()) == [*range(40), 300]
+    assert sorted(x["doc_id"] for x in told[0].where("many_").collect()) == [0, 1, 2, 5, 100, 101, 102, 200]
+
+
 def test_ngram_empty(spark):
     assert ngram_join.jaccard_components(h.frame(spark, [])).count() == 0
 
