@@ -1,7 +1,9 @@
 """Mixing, sharding, quality rules and line deduplication against plain Python."""
 
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -310,3 +312,28 @@ def test_lines_of_one_crowded_bucket_meet(spark):
     crowded = line_dedup._crowded(per, none)
     assert crowded.count() == n
     assert line_dedup._all_pairs(crowded).count() == (n - 1) * (n - 2) // 2
+
+
+def test_lines_are_verified_in_blocks(spark, monkeypatch):
+    """Pairs dealt into blocks give the links of one block, and what their shuffles wrote goes with them."""
+    r, written = random.Random(21), []
+    base = [h.prose(r, 40) for _ in range(6)]
+    texts = sorted({" ".join([*x.split()[:i], "zz", *x.split()[i + 1 :]]) for x in base for i in range(0, 30, 3)})
+    held = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    pairs = spark.range(len(texts)).selectExpr("id AS a").crossJoin(spark.range(len(texts)).selectExpr("id AS b")).where("a < b")
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    cut = line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, what: [written.append(what), cut(df, what)][1])
+    whole = {tuple(x) for x in line_dedup.verified(pairs, held).collect()}
+    assert written.count("links") == 1 and len(whole) >= 6 * 45
+    monkeypatch.setattr(line_dedup, "BLOCK", 1)
+    before = files()
+    dealt = line_dedup.verified(pairs, held)
+    left = [x for x in files() - before if "/shuffle_" in x]
+    for _ in range(50):
+        left = [x for x in left if os.path.exists(x)]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert written.count("links") > 10 and not left
+    assert {tuple(x) for x in dealt.collect()} == whole and dealt.count() == len(whole)
