@@ -4,6 +4,7 @@ import math
 import os
 import random
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -337,3 +338,34 @@ def test_lines_are_verified_in_blocks(spark, monkeypatch):
         time.sleep(0.1)
     assert written.count("links") > 10 and not left
     assert {tuple(x) for x in dealt.collect()} == whole and dealt.count() == len(whole)
+
+
+def test_lines_are_normalised_once(spark):
+    """Lines without letters and digits go before any line is normalised, whatever signs they hold."""
+    signs = ["-", "Ⓐ", "Ⅻ", "²", "İ", "̇", "_", "٣", "ß!", " \t", "𝔸", "¼", "ª", "漢"]
+    found = line_dedup.lines(spark.createDataFrame([(0, "\n".join(signs))], "doc_id long, text string"))
+    assert [signs[x["line_no"]] for x in found.collect()] == [x for x in signs if any(c.isalpha() or unicodedata.category(c)[0] == "N" for c in x)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
+
+
+def test_giant_lines_are_compared_without_their_ends(spark):
+    """Giant lines are told alike as by the whole distance; of a line that lost a passage nothing is left to compare."""
+    r, pairs = random.Random(41), []
+    for _ in range(400):
+        a = "".join(r.choices("abü", k=r.randint(0, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 9)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = r.choices("abü", k=r.randint(0, 2))
+        pairs.append((a, "".join(b)))
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup._giants_within(a, b, line_dedup.most_edits(F.length(a), F.length(b))).alias("near")).collect()
+    assert [x["near"] for x in got] == [edit_distance(x["a"], x["b"]) <= max(len(x["a"]), len(x["b"])) // 5 for x in got]
+    assert 50 < sum(x["near"] for x in got) < 350
+    long = h.prose(random.Random(42), 50_000)
+    lost = spark.createDataFrame([(long, long[:90_000] + long[110_000:])], "a string, b string").cache()
+    lost.count()
+    begin = time.time()
+    assert lost.where(line_dedup.similar(a, b)).count() == 1
+    assert time.time() - begin < 10
