@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from grainmill.functions import kernels
 from grainmill.operators import analysis, filters, gate, index, quality, search
 from grainmill.operators.arrow import grams, minimizers
+from grainmill.plans import queries
 from grainmill.sources import chunks as sources
 from tests import naive
 
@@ -233,3 +235,14 @@ def test_gate_files(spark, tmp_path):
     assert len(gate.jsonl_tail(str(tmp_path / "chronicle.jsonl"))) == 50 - sum(i % 7 == 0 for i in range(10, 60))
     (tmp_path / "LOCK_BY_GOV").touch()
     assert gate.triage(gate.read_state(spark, str(tmp_path), str(tmp_path), str(tmp_path / "m.json"))).first()["verdict"] == "LOCK_BY_GOV"
+
+
+def test_df_stats_counts_every_key(spark, tmp_path):
+    """A key in more documents than bounded_postings keeps (4096) is in df_stats, as in its SQL."""
+    docs = spark.range(4200).selectExpr("id AS doc_id", "concat('the same long passage that all documents begin with, then ', if(id < 9, cast(id AS string), '')) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(queries.ORACLE_SQL["df_stats"]).fetchall()[0]
+    got = queries.QUERIES["df_stats"](spark, str(tmp_path)).select("min_df", "max_df", "median_df").first()
+    assert tuple(got) == want and got["max_df"] == 4200
