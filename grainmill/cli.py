@@ -85,12 +85,12 @@ def _search(a) -> None:
     chunks = archive(a.archive)
     text = a.query.encode() if a.query is not None else open(a.qfile, "rb").read() if a.qfile else sys.stdin.buffer.read()
     queries = chunks.sparkSession.createDataFrame([(0, bytearray(text))], "qid long, q binary")
-    post, n = index.postings(chunks, index.Policy(a.q, a.w)), chunks.count()
+    post, n = index.lookup(chunks, index.Policy(a.q, a.w)), chunks.count()
     found, near = search.l0_both(queries, post, n, adaptive=not a.no_adaptive, **({"q": a.q} if a.no_adaptive else {}), w=a.w)
     told = found.first().asDict()
     every = told.pop("all")
     if a.json:
-        told["candidates"] = list(range(n)) if every else sorted(r["chunk_id"] for r in near.toLocalIterator())
+        told["candidates"] = list(range(n)) if every else sorted(r["chunk_id"] for r in search.listed(near).toLocalIterator())
     print(json.dumps(told))
 
 

@@ -246,3 +246,72 @@ def test_df_stats_counts_every_key(spark, tmp_path):
     want = con.sql(queries.ORACLE_SQL["df_stats"]).fetchall()[0]
     got = queries.QUERIES["df_stats"](spark, str(tmp_path)).select("min_df", "max_df", "median_df").first()
     assert tuple(got) == want and got["max_df"] == 4200
+
+
+@given(st.lists(st.binary(max_size=60), max_size=8), st.integers(1, 9), st.sampled_from([1, 4, 8, 40]), st.sampled_from(["self", "empty"]), st.sampled_from([1, 40, 1000]))
+@settings(max_examples=200, deadline=None)
+def test_kernels_over_borders(values, q, w, short, at_once):
+    """Values end to end give the keys that each gives alone."""
+    ends = np.cumsum([0, *map(len, values)])
+    got = {}
+    for rows, crcs in kernels.minimizers_many(np.frombuffer(b"".join(values), np.uint8), ends, q, w, short, at_once):
+        for i, k in zip(rows.tolist(), crcs.tolist()):
+            got.setdefault(i, []).append(k)
+    assert got == {i: sorted(m) for i, v in enumerate(values) if (m := naive.minimizers(v, q, w, short))}
+
+
+def test_index_stats_reads_keys_once(spark, capsys):
+    """Counts of the layers need each key's df, not its postings."""
+    c = frame(spark, corpus())
+    policy = index.Policy(df_max=4)
+    got = index.index_stats(index.key_layers(index.key_df(c), policy), c)
+    assert got.first() == index.index_stats(index.postings(c, policy), c).first()
+    got.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan
+
+
+def test_lookup_leaves_other_keys(spark, monkeypatch):
+    """Keys that no query asks for are left where the chunks are read."""
+    data = corpus()
+    c, policy = frame(spark, data), index.Policy(df_max=3)
+    asked = spark.createDataFrame([(k,) for k in naive.minimizers(data[5], 8, 8, "self")], "crc long")
+    want = sorted(map(tuple, index.postings(c, policy).join(asked, "crc", "left_semi").collect()))
+    rows, cut = {}, index.cut
+    monkeypatch.setattr(index, "cut", lambda df, what: rows.setdefault(what, cut(df, what)))
+    assert sorted(map(tuple, index.lookup(c, policy)(asked).collect())) == want
+    assert rows["met"].count() == len(want) < index.postings(c).count() // 4
+    wanted = sorted(map(tuple, index.bounded_postings(c, w=8, max_df=9).join(asked, "crc", "left_semi").collect()))
+    assert sorted(map(tuple, index.bounded_lookup(c, w=8, max_df=9)(asked).collect())) == wanted
+
+
+def test_common_keys_are_not_listed(spark, monkeypatch):
+    """Every document has common keys and its own: what is written for the search grows with the documents, not with their square."""
+    n = 400
+    data = [b"a passage that all of the documents begin with, and then " + b" ".join(b"%d" % (i * 10**7 + j * 7919**2) for j in range(20)) for i in range(n)]
+    c, sizes, cut = frame(spark, data), {}, search.cut
+
+    def counted(df, what):
+        out = cut(df, what)
+        sizes[what] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "cut", counted)
+    told = quality.retrieval_quality(quality.trials(c, 96), index.lookup(c), n).first()
+    assert (told["trials"], told["recall"], told["miss"]) == (n, 1.0, 0)
+    assert sum(v for k, v in sizes.items() if k in ("pool", "lists", "blocks")) < 20 * n
+
+
+def test_blocks_stay_runs(spark):
+    """Candidates from blocks are runs until they are listed."""
+    n = 6400
+    rows = [(7, i * 64, 100, "C") for i in range(0, 40)]
+    post = spark.createDataFrame(rows, "crc long, chunk_id long, df long, layer string")
+    from unittest import mock
+
+    keys = spark.createDataFrame([(0, 7)], "qid long, crc long")
+    with mock.patch.object(search, "minimizers", lambda *a: keys):
+        _, picked = search.l0_parts(frame(spark, [b"x" * 20], "qid long, q binary"), post, n, block_size=64)
+        near = search.widened(picked, n)
+    assert picked.count() == 40 and [tuple(r) for r in near.collect()] == [(0, 0, 2560)]
+    assert sorted(r["chunk_id"] for r in search.listed(near, at_once=100).collect()) == list(range(2561))
