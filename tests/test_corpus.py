@@ -271,18 +271,22 @@ def test_index_stats_reads_keys_once(spark, capsys):
     assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan
 
 
-def test_lookup_leaves_other_keys(spark, monkeypatch):
-    """Keys that no query asks for are left where the chunks are read."""
+def test_lookup_leaves_other_keys(spark):
+    """Keys that no query asks for are left where the chunks are read; of layer C a row a block moves."""
     data = corpus()
     c, policy = frame(spark, data), index.Policy(df_max=3)
     asked = spark.createDataFrame([(k,) for k in naive.minimizers(data[5], 8, 8, "self")], "crc long")
-    want = sorted(map(tuple, index.postings(c, policy).join(asked, "crc", "left_semi").collect()))
-    rows, cut = {}, index.cut
-    monkeypatch.setattr(index, "cut", lambda df, what: rows.setdefault(what, cut(df, what)))
-    assert sorted(map(tuple, index.lookup(c, policy)(asked).collect())) == want
-    assert rows["met"].count() == len(want) < index.postings(c).count() // 4
-    wanted = sorted(map(tuple, index.bounded_postings(c, w=8, max_df=9).join(asked, "crc", "left_semi").collect()))
-    assert sorted(map(tuple, index.bounded_lookup(c, w=8, max_df=9)(asked).collect())) == wanted
+    want = index.postings(c, policy).join(asked, "crc", "left_semi")
+    found = index.lookup(c, policy)
+    df = found.df(asked)
+    assert set(map(tuple, df.collect())) == {(r["crc"], r["df"], r["layer"]) for r in want.collect()}
+    assert sorted(map(tuple, found.rows(df).collect())) == sorted(map(tuple, want.collect()))
+    thin = found.rows(df, 8)
+    assert sorted(map(tuple, index.block_masks(thin, 8).collect())) == sorted(map(tuple, index.block_masks(want, 8).collect()))
+    assert sorted(map(tuple, thin.where("layer = 'B'").collect())) == sorted(map(tuple, want.where("layer = 'B'").collect()))
+    assert thin.count() < want.count()
+    bounded, few = index.bounded_postings(c, w=8, max_df=9).join(asked, "crc", "left_semi"), index.bounded_lookup(c, w=8, max_df=9)
+    assert sorted(map(tuple, few.rows(few.df(asked)).collect())) == sorted(map(tuple, bounded.collect()))
 
 
 def test_common_keys_are_not_listed(spark, monkeypatch):
