@@ -380,3 +380,23 @@ def test_texts_and_bitmaps_move_once_a_chunk(spark, capsys, monkeypatch):
     assert "q_" not in "".join(x for x in plan_of(found, capsys).splitlines() if "Join" in x or "Exchange" in x) and "collect_list(qid" in plan_of(found, capsys)
     texts = [d[3:80] for d in data[:20]] + [b"short", b""]
     assert {tuple(r) for r in found.collect()} == {(i, j, data[j].find(texts[i])) for i in range(22) for j in range(0, 60, 2) if texts[i] in data[j]}
+
+
+def test_mask_rows_are_written_small(spark, tmp_path):
+    """Rows of blocks take well under a byte each, as they are dealt out by blocks."""
+    masks = spark.range(40_000).selectExpr("(id * 2654435769) % 4294967291 AS crc", "(id * 7919) % 500 AS block_id")
+    masks = masks.union(spark.createDataFrame([(5, 499), (5, 500)], "crc long, block_id long"))
+    rows = index.mask_chunks(masks, 16, 7990)
+    rows.write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == rows.distinct().count() == 40_000 // 500 * (499 * 16 + 6) + 6 and rows.where("crc = 5").agg({"chunk_id": "max"}).first()[0] == 7989
+    assert size < n
+
+
+def test_masks_leave_layer_b(spark, capsys):
+    """Masks are those of the postings, and the chunks' other keys are not sorted for them."""
+    c, policy = frame(spark, corpus()), index.Policy(df_max=3, block_size=8)
+    got = index.masks_of(c, policy)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.block_masks(index.postings(c, policy), 8).collect()))
+    assert plan_of(got, capsys).count("MapInArrow") == 1
